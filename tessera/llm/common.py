@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +24,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, wherever the driver imported it from."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
+def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
+def group_arrow(df: DataFrame, keys: list[str], f, schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.groupBy(*keys).applyInArrow(f, schema)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and go on from there, so lost executors cost no recomputation.
 

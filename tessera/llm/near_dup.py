@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, cut, mix, shingles, slices, table
+from tessera.llm.common import components, cut, group_arrow, map_arrow, mix, shingles, slices, table
 
 #: Texts of one block together hold about this many shingles at most (one longer text stands alone).
 BLOCK_SHINGLES = 400_000
@@ -131,7 +131,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     another; such rows are linked by equal sets only, and kept if their component has no id. Empty table: no rows.
     """
     base = docs.select("doc_id", "text")
-    signed = cut(base.mapInArrow(_signer(k, bands, rows), "doc_id long, n long, s1 long, s2 long, keys array<long>"))
+    signed = cut(map_arrow(base, _signer(k, bands, rows), "doc_id long, n long, s1 long, s2 long, keys array<long>"))
     cls = cut(signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")).withColumnRenamed("s1", "cid"))
     spread = cls.select("cid", F.explode("keys").alias("key"))
     lead = spread.groupBy("key").agg(F.min("cid").alias("lead"), F.count("*").alias("c")).where("c > 1").select("key", "lead")
@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     texts = base.where("doc_id is not null").join(members.withColumnRenamed("rep", "doc_id"), "doc_id").dropDuplicates(["cid"])
     meet = texts.select("comp", "cid", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     meet = meet.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "cid", "block", "text")
-    links = meet.groupBy("comp", "lo", "hi").applyInArrow(_links(k, percent), "a long, b long")
+    links = group_arrow(meet, ["comp", "lo", "hi"], _links(k, percent), "a long, b long")
     comp = components(links)
     of = cls.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "s2", "rep", F.coalesce("comp", "cid").alias("comp"))
     least = of.groupBy("comp").agg(F.min("rep").alias("component_id"))
