@@ -1,6 +1,14 @@
 """The opN_ queries and their SQL equivalents."""
 
-from tessera.llm import near_dup
+from tessera.llm import decontam, langid, license_scan, mixing, near_dup, topk, toxicity
 
-QUERIES = {"op7_minhash_near_dup": near_dup.op7_minhash_near_dup}
-ORACLES = {"op7_minhash_near_dup": near_dup.ORACLE}
+QUERIES = {
+    "op2_topk_maxscore": topk.op2_topk_maxscore,
+    "op3_decontaminate": decontam.op3_decontaminate,
+    "op5_mix_sources": mixing.op5_mix_sources,
+    "op7_minhash_near_dup": near_dup.op7_minhash_near_dup,
+    "op8_license_scan": license_scan.op8_license_scan,
+    "op9_language_id": langid.op9_language_id,
+    "op10_toxicity": toxicity.op10_toxicity,
+}
+ORACLES = {"op2_topk_maxscore": topk.ORACLE, "op7_minhash_near_dup": near_dup.ORACLE, "op8_license_scan": license_scan.oracle()}
