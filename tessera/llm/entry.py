@@ -1,8 +1,9 @@
 """The opN_ queries and their SQL equivalents."""
 
-from tessera.llm import decontam, langid, license_scan, mixing, near_dup, topk, toxicity
+from tessera.llm import decontam, langid, license_scan, line_dedup, mixing, near_dup, topk, toxicity
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_topk_maxscore": topk.op2_topk_maxscore,
     "op3_decontaminate": decontam.op3_decontaminate,
     "op5_mix_sources": mixing.op5_mix_sources,
