@@ -20,8 +20,9 @@ WINDOW, STRIDE = 24, 12
 #: Rows of the hashed tables of word and character vectors; their width; units of the network per direction.
 WORD_ROWS, CHAR_ROWS, WIDTH, UNITS = 1 << 15, 1 << 15, 8, 6
 #: Labelled documents that training takes at most of either label (in expectation), each of whole text.
-TRAIN_PER_LABEL = 1200
-_PAD = 0
+TRAIN_PER_LABEL = 1000
+#: Distinct words whose character vectors are summed at a time.
+CHUNK = 32_768
 
 
 # ---------------------------------------------------------------- inputs
@@ -42,7 +43,8 @@ def _trim(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
 
 
 def words(buf: np.ndarray, offsets: np.ndarray):
-    """(row of each word among the distinct ones, word table rows, character table rows, their owner, first word of each text)."""
+    """(row of each word among the distinct ones, first word of each text, hashes of the distinct words, and as a pair of
+    arrays their character table rows and how many of these each has)."""
     start, end, first = words_of(buf, offsets)
     start, end = _trim(buf, start, end)
     h = span_hashes(buf, start, end)
@@ -68,11 +70,10 @@ def words(buf: np.ndarray, offsets: np.ndarray):
         x = mix(x[:m] * np.uint64(257) + ch[n - 1 :] + np.uint64(n))
         if n >= 3:
             ok = owner[:m] == owner[n - 1 :]
-            rows.append((x[ok] % np.uint64(CHAR_ROWS)).astype(np.int64))
-            who.append(owner[:m][ok])
-    rows, who = (np.concatenate(rows), np.concatenate(who)) if rows else (np.zeros(0, np.int64),) * 2
-    order = np.argsort(who, kind="stable")
-    return code, (h % np.uint64(WORD_ROWS)).astype(np.int64), rows[order], who[order], first
+            rows.append((x[ok] % np.uint64(CHAR_ROWS)).astype(np.int32))
+            who.append(owner[:m][ok].astype(np.int32))
+    rows, who = (np.concatenate(rows), np.concatenate(who)) if rows else (np.zeros(0, np.int32),) * 2
+    return code, first, h, (rows[np.argsort(who, kind="stable")], np.bincount(who, minlength=len(h)))
 
 
 def window_index(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,15 +97,18 @@ def init(rng: np.random.Generator) -> dict[str, np.ndarray]:
     return p
 
 
-def vectors(p: dict, word_rows: np.ndarray, char_rows: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """The input of each distinct word: its word vector beside the mean of its character vectors."""
-    n = len(word_rows)
-    out = np.zeros((n, 2 * WIDTH), np.float32)
-    out[:, :WIDTH] = p["word"][word_rows]
-    if len(char_rows):
-        count = np.bincount(owner, minlength=n)
-        at = (np.cumsum(count) - count)[count > 0]
-        out[count > 0, WIDTH:] = np.add.reduceat(p["char"][char_rows], at, axis=0) / np.sqrt(count[count > 0])[:, None]
+def vectors(p: dict, h: np.ndarray, chars: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The input of each distinct word: its word vector beside the scaled sum of its character vectors."""
+    out = np.zeros((max(len(h), 1), 2 * WIDTH), np.float32)
+    for a in range(0, len(h), CHUNK):
+        part = slice(a, a + CHUNK)
+        out[part][: len(h[part]), :WIDTH] = p["word"][(h[part] % np.uint64(WORD_ROWS)).astype(np.int64)]
+        n = count[part]
+        at = np.cumsum(n) - n
+        rows = chars[np.repeat(start[part] - at, n) + np.arange(n.sum())]
+        if len(rows):
+            some = n > 0
+            out[part][: len(n)][some, WIDTH:] = np.add.reduceat(p["char"][rows], at[some], axis=0) / np.sqrt(n[some])[:, None]
     return out
 
 
@@ -179,8 +183,8 @@ def gather(code: np.ndarray, windows: np.ndarray) -> np.ndarray:
 
 def score_texts(p: dict, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Each text's highest window score."""
-    code, wr, cr, owner, first = words(buf, offsets)
-    x = vectors(p, wr, cr, owner) if len(wr) else np.zeros((1, 2 * WIDTH), np.float32)
+    code, first, h, (chars, count) = words(buf, offsets)
+    x = vectors(p, h, chars, np.cumsum(count) - count, count)
     win, of = window_index(first)
     s = np.empty(len(win), np.float32)
     for a in range(0, len(win), 2048):
@@ -189,10 +193,31 @@ def score_texts(p: dict, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(s, np.searchsorted(of, np.arange(len(offsets) - 1)))
 
 
-def fit(texts: list[bytes], y: np.ndarray, rounds: int = 14, seed: int = 5) -> dict[str, np.ndarray]:
+def _corpus(texts: list[bytes]):
+    """(distinct word of each word, first word of each text, hashes, and chars, start, count: word w's character rows are
+    chars[start[w]:start[w] + count[w]]) of all texts, taken a slice at a time."""
+    import pyarrow as pa
+
+    codes, firsts, hashes, chars, counts, words_, seen = [], [np.zeros(1, np.int64)], [], [], [], 0, 0
+    for _, buf, off in slices(pa.array(texts, pa.large_binary()).view(pa.large_string())):
+        code, first, h, (rows, count) = words(buf, off)
+        codes.append(code + seen)
+        firsts.append(first[1:] + words_)
+        hashes.append(h)
+        chars.append(rows)
+        counts.append(count)
+        words_, seen = words_ + len(code), seen + len(h)
+    h, count = np.concatenate(hashes), np.concatenate(counts)
+    start = np.cumsum(count) - count
+    h, at, same = np.unique(h, return_index=True, return_inverse=True)
+    return same[np.concatenate(codes)], np.concatenate(firsts), h, np.concatenate(chars), start[at], count[at]
+
+
+def fit(texts: list[bytes], y: np.ndarray, toxic_share: float | None = None, rounds: int = 14, seed: int = 5) -> dict[str, np.ndarray]:
     """Training on whole documents by their highest windows (of a toxic one those must be high, of others all low).
 
-    Word and character vectors start from how much more often they occur in toxic documents.
+    Word and character vectors start from how much more often they occur in toxic documents. toxic_share is the share of
+    toxic documents where the model is to be used (that of the sample if not given).
     """
     rng = np.random.default_rng(seed)
     p = init(rng)
@@ -200,32 +225,30 @@ def fit(texts: list[bytes], y: np.ndarray, rounds: int = 14, seed: int = 5) -> d
         p["out"][:] = 0
         p["bias"][:] = 4.0 if len(y) and y[0] == 1 else -4.0
         return p
-    buf = np.frombuffer(b"".join(texts), np.uint8)
-    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    code, wr, cr, owner, first = words(buf, offsets)
+    code, first, h, chars, start, count = _corpus(texts)
     win, of = window_index(first)
     # document frequencies by label start the first column of either table
-    doc = np.repeat(np.arange(len(texts)), np.diff(first))
-    pair = np.unique(np.stack([code, doc], 1), axis=0)
-    ratio = lambda pos, neg: np.log((pos + 0.3) / (y.sum() + 1)) - np.log((neg + 0.3) / (len(y) - y.sum() + 1))
-    bad = y[pair[:, 1]] == 1
-    for name, rows, keys in (("word", WORD_ROWS, wr[pair[:, 0]]), ("char", CHAR_ROWS, None)):
-        if keys is None:
-            n = np.bincount(owner, minlength=len(wr))
-            begin = np.cumsum(n) - n
-            rep = n[pair[:, 0]]
-            at = np.repeat(begin[pair[:, 0]], rep) + np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep)
-            who = np.unique(cr[at] * len(texts) + np.repeat(pair[:, 1], rep))
-            keys, bad = who // len(texts), y[who % len(texts)] == 1
-        pos, neg = np.bincount(keys[bad], minlength=rows), np.bincount(keys[~bad], minlength=rows)
-        p[name][:, 0] += np.where(pos + neg >= 3, 0.5 * ratio(pos, neg), 0).astype(np.float32)
+    wr = (h % np.uint64(WORD_ROWS)).astype(np.int64)
+    freq = {"word": np.zeros((2, WORD_ROWS)), "char": np.zeros((2, CHAR_ROWS))}
+    for i, t in enumerate(y.tolist()):
+        w = np.unique(code[first[i] : first[i + 1]])
+        freq["word"][t, np.unique(wr[w])] += 1
+        n = count[w]
+        freq["char"][t, np.unique(chars[np.repeat(start[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())])] += 1
+    for name, f in freq.items():
+        ratio = np.log((f[1] + 0.3) / (y.sum() + 1)) - np.log((f[0] + 0.3) / (len(y) - y.sum() + 1))
+        p[name][:, 0] += np.where(f.sum(0) >= 3, 0.5 * ratio, 0).astype(np.float32)
     m = {k: np.zeros_like(v) for k, v in p.items()}
     v = {k: np.zeros_like(v) for k, v in p.items()}
     begin = np.searchsorted(of, np.arange(len(texts)))
+
+    def scores() -> np.ndarray:
+        x = vectors(p, h, chars, start, count)
+        return np.concatenate([forward(p, x, gather(code, win[a : a + 2048]), win[a : a + 2048, 1]) for a in range(0, len(win), 2048)])
+
     step = 0
     for turn in range(rounds):
-        x = vectors(p, wr, cr, owner)
-        s = np.concatenate([forward(p, x, gather(code, win[a : a + 4096]), win[a : a + 4096, 1]) for a in range(0, len(win), 4096)])
+        s = scores()
         # the two highest windows of each document stand for it in this round
         order = np.lexsort((-s, of))
         top = order[begin]
@@ -239,15 +262,15 @@ def fit(texts: list[bytes], y: np.ndarray, rounds: int = 14, seed: int = 5) -> d
             idx = gather(code, w)
             used, local = np.unique(idx, return_inverse=True)
             local = local.reshape(idx.shape)
-            sel = np.isin(owner, used)
-            own = np.searchsorted(used, owner[sel])
-            x = vectors(p, wr[used], cr[sel], own)
+            n = count[used]
+            own = np.repeat(np.arange(len(used)), n)
+            rows_c = chars[np.repeat(start[used] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            x = vectors(p, h[used], chars, start[used], n)
             s, kept = forward(p, x, local, w[:, 1], keep=True)
             weight = np.where(label[b] == 1, 0.5 / max((label == 1).mean(), 1e-6), 0.5 / max((label == 0).mean(), 1e-6))
             ds = ((_sigmoid(s) - label[b]) * weight / len(b)).astype(np.float32)
             g, dx = backward(p, x, local, kept, ds)
-            count = np.sqrt(np.maximum(np.bincount(own, minlength=len(used)), 1))
-            for name, rows, grad in (("word", wr[used], dx[:, :WIDTH]), ("char", cr[sel], (dx[:, WIDTH:] / count[:, None])[own])):
+            for name, rows, grad in (("word", wr[used], dx[:, :WIDTH]), ("char", rows_c, (dx[:, WIDTH:] / np.sqrt(np.maximum(n, 1))[:, None])[own])):
                 at, inv = np.unique(rows, return_inverse=True)
                 sums = np.zeros((len(at), WIDTH), np.float32)
                 np.add.at(sums, inv, grad)
@@ -258,14 +281,14 @@ def fit(texts: list[bytes], y: np.ndarray, rounds: int = 14, seed: int = 5) -> d
                 m[k] = 0.9 * m[k] + 0.1 * gk
                 v[k] = 0.99 * v[k] + 0.01 * gk * gk
                 p[k] -= 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
-    # Platt scaling on the training documents' scores, at their true shares
-    x = vectors(p, wr, cr, owner)
-    s = np.concatenate([forward(p, x, gather(code, win[a : a + 4096]), win[a : a + 4096, 1]) for a in range(0, len(win), 4096)])
+    # Platt scaling on the training documents' highest windows, weighted to the labels' true shares
     p["platt"] = np.array([1.0, 0.0], np.float32)
-    s = np.maximum.reduceat(s, begin).astype(np.float64)
+    s = np.maximum.reduceat(scores(), begin).astype(np.float64)
+    share = y.mean() if toxic_share is None else toxic_share
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     a, c = 1.0, 0.0
     for _ in range(300):
-        e = 1 / (1 + np.exp(-np.clip(a * s + c, -30, 30))) - y
+        e = weight * (1 / (1 + np.exp(-np.clip(a * s + c, -30, 30))) - y)
         a, c = a - 0.05 * ((e * s).mean() + 0.01 * (a - 1)), c - 0.2 * e.mean()
     p["platt"][:] = (max(a, 0.05), c)
     return p
@@ -284,7 +307,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, per_label: int = TRAI
     chosen = known.where(draw < rate)
     got = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").collect()
     got.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"]))
-    return fit([r["text"].encode() for r in got], np.array([r["toxic"] for r in got], np.int64))
+    return fit([r["text"].encode() for r in got], np.array([r["toxic"] for r in got], np.int64), count.get(1, 0) / max(sum(count.values()), 1))
 
 
 def scored(docs: DataFrame, model: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
