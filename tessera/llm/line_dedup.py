@@ -127,4 +127,4 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "lines.n_lines", "lines.n_dropped", F.md5(F.col("lines.text").cast("binary")).alias("text_md5"), F.length("lines.text").cast("long").alias("n_chars"))
+    return out.select("doc_id", "lines.n_lines", "lines.n_dropped", "lines.text")
