@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The words of a text are the maximal runs of anything but these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,28 +46,49 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
+def with_fields(df: DataFrame, keep: tuple[str, ...], more: str) -> T.StructType:
+    """The schema of the columns `keep` of df followed by the fields `more`."""
+    return T.StructType([*df.select(*keep).schema.fields, *T._parse_datatype_string(more).fields])
+
+
+def map_arrow(df: DataFrame, f, schema) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(f, schema)
 
 
-def group_arrow(df: DataFrame, keys: list[str], f, schema: str) -> DataFrame:
+def group_arrow(df: DataFrame, keys: list[str], f, schema) -> DataFrame:
     ship(df.sparkSession)
     return df.groupBy(*keys).applyInArrow(f, schema)
 
 
+def _shared(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; a temporary folder only where that is unset."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and go on from there, so lost executors cost no recomputation.
 
-    The folder is the session's spark.checkpoint.dir; a temporary one only where that is unset.
     Spark removes the files once nothing refers to them (cleanCheckpoints).
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, and its path; remove() deletes it."""
+    path = f"{_shared(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count shows at most `limit` rows, else df as it is."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

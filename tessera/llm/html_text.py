@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, table
+from tessera.llm.common import map_arrow, table, with_fields
 
 # ---------------------------------------------------------------- parsing
 
@@ -479,7 +479,6 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> Dat
     looked at. Empty table: no rows.
     """
     model = trained()
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema)
     n = len(keep)
 
     def run(batches):
@@ -491,7 +490,7 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> Dat
                 text = [t for a in range(0, len(source), 128) for t in main_texts(model, source[a : a + 128])]
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(text, pa.string())], [*b.schema.names[:n], "text"])
 
-    return map_arrow(pages.select(*keep, F.col("html").alias("html__")), run, f"{fields}, text string")
+    return map_arrow(pages.select(*keep, F.col("html").alias("html__")), run, with_fields(pages, keep, "text string"))
 
 
 def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

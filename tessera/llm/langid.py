@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, mix, slices, table
+from tessera.llm.common import map_arrow, mix, slices, table, with_fields
 
 #: Hashed n-gram features.
 DIM = 4096
@@ -146,7 +146,6 @@ def identify(docs: DataFrame, use: Column, keep: tuple[str, ...] = ("doc_id",),
     the language that sorts first. Clashing and further columns are not looked at. Empty table: no rows.
     """
     langs, model = train(docs, use)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     n = len(keep)
 
     def predict(batches):
@@ -167,7 +166,7 @@ def identify(docs: DataFrame, use: Column, keep: tuple[str, ...] = ("doc_id",),
             p, g = np.where(some, np.concatenate(score), 0.0), np.where(some, np.concatenate(gap), 0.0)
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(names, pa.string()), pa.array(p), pa.array(g < lead)], [*b.schema.names[:n], "lang_pred", "score", "ambiguous"])
 
-    return map_arrow(docs.select(*keep, F.col("text").alias("text__")), predict, f"{fields}, lang_pred string, score double, ambiguous boolean")
+    return map_arrow(docs.select(*keep, F.col("text").alias("text__")), predict, with_fields(docs, keep, "lang_pred string, score double, ambiguous boolean"))
 
 
 def fold(k: int) -> Column:

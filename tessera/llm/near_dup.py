@@ -65,7 +65,7 @@ def _signer(k: int, bands: int, rows: int):
             none = n == 0
             ints = lambda x: pa.array(np.concatenate(x).view(np.int64), mask=none)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(none, 0, bands)))).astype(np.int32)), pa.array(key[~none].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), ints(s1), ints(s2), lists], ["doc_id", "n", "s1", "s2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), ints(s1), ints(s2), lists], ["doc_id", "key", "n", "s1", "s2", "keys"])
 
     return sign
 
@@ -124,14 +124,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     """Components of documents whose k-word shingle sets have Jaccard similarity of percent/100 or more.
 
     docs needs doc_id and text; other columns, also clashing ones, are not looked at. One row per input row:
-    doc_id, n_shingles (set size), component_id (smallest doc_id reachable, itself included), kept.
+    doc_id, n_shingles (set size), component_id (smallest doc_id reachable, itself included), kept, key (hash of the text).
     Words are runs of anything but ASCII white space, A-Z lower-cased; whole texts count, of any length. Null and
     empty texts have no shingles and are linked with nothing. Rows are told apart by their shingle set: repeated rows
     and equal texts share a component. A null doc_id never becomes a component_id as long as the component has
     another; such rows are linked by equal sets only, and kept if their component has no id. Empty table: no rows.
     """
-    base = docs.select("doc_id", "text")
-    signed = cut(map_arrow(base, _signer(k, bands, rows), "doc_id long, n long, s1 long, s2 long, keys array<long>"))
+    base = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    signed = cut(map_arrow(base, _signer(k, bands, rows), "doc_id long, key long, n long, s1 long, s2 long, keys array<long>"))
     cls = cut(signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")).withColumnRenamed("s1", "cid"))
     spread = cls.select("cid", F.explode("keys").alias("key"))
     lead = spread.groupBy("key").agg(F.min("cid").alias("lead"), F.count("*").alias("c")).where("c > 1").select("key", "lead")
@@ -143,7 +143,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     mass = mass.join(mass.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "comp")
     members = mass.select(F.col("node").alias("cid"), F.col("n").alias("set_size"), "rep", "comp", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     # each block meets every block of its cluster once, itself included
-    texts = base.where("doc_id is not null").join(members.withColumnRenamed("rep", "doc_id"), "doc_id").dropDuplicates(["cid"])
+    texts = base.drop("key").where("doc_id is not null").join(members.withColumnRenamed("rep", "doc_id"), "doc_id").dropDuplicates(["cid"])
     meet = texts.select("comp", "cid", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     meet = meet.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "cid", "block", "text")
     links = group_arrow(meet, ["comp", "lo", "hi"], _links(k, percent), "a long, b long")
@@ -151,13 +151,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     of = cls.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "s2", "rep", F.coalesce("comp", "cid").alias("comp"))
     least = of.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of = of.join(least, "comp").select(F.col("cid").alias("s1"), "s2", "component_id")
-    out = signed.select("doc_id", "n", "s1", "s2").join(of, ["s1", "s2"], "left")
+    out = signed.select("doc_id", "key", "n", "s1", "s2").join(of, ["s1", "s2"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "key")
 
 
 def op7_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85).drop("key")
 
 
 ORACLE = """

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, mix, slices, span_hashes, table, words_of
+from tessera.llm.common import map_arrow, mix, slices, span_hashes, table, with_fields, words_of
 
 WINDOW, STRIDE = 24, 12
 #: Rows of the hashed tables of word and character vectors; their width; units of the network per direction.
@@ -317,7 +317,6 @@ def scored(docs: DataFrame, model: dict[str, np.ndarray], keep: tuple[str, ...]
     the score of the bias. Equal texts get equal scores. Further and clashing columns are not looked at. Empty table:
     no rows.
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     n = len(keep)
     slim = {k: v.astype(np.float16) if k in ("word", "char") else v for k, v in model.items()}
 
@@ -332,7 +331,7 @@ def scored(docs: DataFrame, model: dict[str, np.ndarray], keep: tuple[str, ...]
                 s = 1 / (1 + np.exp(-np.clip(a * s + c, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(s)], [*b.schema.names[:n], "score"])
 
-    return map_arrow(docs.select(*keep, F.col("text").alias("text__")), run, f"{fields}, score double")
+    return map_arrow(docs.select(*keep, F.col("text").alias("text__")), run, with_fields(docs, keep, "score double"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
