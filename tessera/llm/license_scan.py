@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_name, small, table
+from tessera.llm.common import cut, free_name, small, table
 
 #: Words spelt in two ways, and the form that both become.
 SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("organisation", "organization"), ("authoris", "authoriz"), ("favour", "favor"), ("whilst", "while"), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("per cent", "percent"), ("acknowledgement", "acknowledgment")]
@@ -124,7 +124,7 @@ def scan(docs: DataFrame) -> DataFrame:
     spans = level("document", F.array("text")).union(level("part", F.concat(F.split("text", r"\n[ \t\r]*\n"), F.split("text", "\n"))))
     hits = spans.select("key", "level", F.md5(canonical("span").cast("binary")).alias("digest")).join(F.broadcast(digests), "digest")
     hits = hits.groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"), F.sort_array(F.collect_set("class")).alias("classes"), F.max(F.col("level") == "document").alias("whole"))
-    hits = hits.select("key", F.struct("ids", "classes", "whole").alias("hit"))
+    hits = cut(hits.select("key", F.struct("ids", "classes", "whole").alias("hit")))
     none = F.array().cast("array<string>")
     out = docs.select(F.struct("*").alias("row"), key.alias("key")).join(small(hits), "key", "left")
     found = F.struct(F.coalesce("hit.ids", none).alias("ids"), F.coalesce("hit.classes", none).alias("classes"), F.coalesce("hit.whole", F.lit(False)).alias("whole"))
