@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, group_arrow, map_arrow, table
 
-SHARD_ROWS, BLOCK_QUERIES = 8192, 1024
+SHARD_ROWS, BLOCK_QUERIES, FIRST_ROWS = 8192, 1024, 1024
 
 
 def _pack(key, tbl):
@@ -31,35 +31,36 @@ def _pack(key, tbl):
 def search_shard(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int):
     """(query, vector, score) of each query's k best rows of one shard; a row with the query's own id is left out."""
     n, dim = x.shape
-    up, down = [np.flatnonzero(x[:, d] > 0) for d in range(dim)], [np.flatnonzero(x[:, d] < 0) for d in range(dim)]
-    value = {(d, s): x[(up if s > 0 else down)[d], d] for d in range(dim) for s in (1, -1)}
-    high, low = np.maximum(x.max(0, initial=0), 0), np.minimum(x.min(0, initial=0), 0)
+    # sums of products below 2**53 are exact in doubles, whose products are faster
+    exact = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * dim < 2**52
+    lists = np.ascontiguousarray(x.T.astype(np.float64) if exact else x.T)
+    q = q.astype(lists.dtype)
+    posting = {1: np.maximum(lists, 0), -1: np.minimum(lists, 0)}
+    high, low = posting[1].max(1, initial=0), posting[-1].min(1, initial=0)
     out = []
     for qid, w in zip(qids.tolist(), q):
         bound = np.where(w > 0, w * high, w * low)
         terms = np.argsort(-bound, kind="stable")
         rest = np.concatenate((np.cumsum(bound[terms][::-1])[::-1], [0]))
-        # the k-th best of a few exact scores starts the threshold
-        first = x[: 16 * k] @ w
-        first = first[ids[: 16 * k] != qid]
+        # the k-th best exact score of the first rows starts the threshold
+        first = (w @ lists[:, :FIRST_ROWS])[ids[:FIRST_ROWS] != qid]
         least = np.partition(first, len(first) - k)[len(first) - k] if len(first) >= k else None
-        acc, at = np.zeros(n, np.int64), 0
-        while at < dim and (least is None or rest[at] >= least) and bound[terms[at]] > 0:
-            d = terms[at]
-            s = 1 if w[d] > 0 else -1
-            acc[(up if s > 0 else down)[d]] += w[d] * value[d, s]
-            at += 1
-        cand = np.flatnonzero(ids != qid) if least is None else np.flatnonzero((acc + rest[at] >= least) & (ids != qid))
-        # essential terms in which the candidate has the other sign, then the rest while competitive
-        score = acc[cand]
-        for d in terms[:at]:
-            score += np.minimum(x[cand, d] * w[d], 0)
+        if least is None:
+            at, cand = 0, np.flatnonzero(ids != qid)
+            score = np.zeros(len(cand), lists.dtype)
+        else:
+            # essential terms: up to the first whose bound, with all after it, is below the threshold
+            at = min(int(np.searchsorted(-rest, -least, "right")), int((bound > 0).sum()))
+            up, down = terms[:at][w[terms[:at]] > 0], terms[:at][w[terms[:at]] < 0]
+            acc = w[up] @ posting[1][up] + w[down] @ posting[-1][down]
+            cand = np.flatnonzero((acc + rest[at] >= least) & (ids != qid))
+            # the candidates' exact scores in the essential terms
+            score = w[terms[:at]] @ lists[terms[:at]][:, cand]
         for i in range(at, dim):
-            if least is not None:
+            if least is not None and i % 4 == at % 4:
                 fit = score + rest[i] >= least
-                if not fit.all():
-                    cand, score = cand[fit], score[fit]
-            score = score + x[cand, terms[i]] * w[terms[i]]
+                cand, score = cand[fit], score[fit]
+            score = score + w[terms[i]] * lists[terms[i], cand]
         best = np.lexsort((ids[cand], -score))[:k]
         out += [(qid, int(ids[cand[j]]), int(score[j])) for j in best]
     return out
@@ -98,8 +99,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     shards, blocks = packed(vectors, SHARD_ROWS), packed(queries, BLOCK_QUERIES).select("dim", F.col("slot").alias("block"), F.col("ids").alias("qids"), F.col("x").alias("q"))
     # every block of queries meets every shard of its dimension; both are packed rows of bounded size
     per = blocks.groupBy("dim").agg(F.collect_list("block").alias("blocks"))
-    meet = shards.join(per, "dim").withColumn("block", F.explode("blocks")).drop("blocks").repartition("dim", "slot", "block")
-    found = map_arrow(meet.join(blocks, ["dim", "block"]).select("ids", "x", "qids", "q"), _search(k), "query_id long, vec_id long, score long")
+    # one task or so for each: a fixed number of partitions is not merged into fewer
+    n = max(1, min(10_000, shards.count() * max(1, blocks.count())))
+    meet = shards.join(per, "dim").withColumn("block", F.explode("blocks")).drop("blocks").join(blocks, ["dim", "block"]).repartition(n, "dim", "slot", "block")
+    found = map_arrow(meet.select("ids", "x", "qids", "q"), _search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
