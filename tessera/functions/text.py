@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 C = Column | str
 
@@ -137,7 +138,7 @@ def glob_match(c: C, pattern: str | None) -> Column:
     return col(c).rlike(glob_regex(pattern))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkd(s: pd.Series) -> pd.Series:
     """Unicode compatibility decomposition (Spark has no built-in form)."""
     import unicodedata
@@ -223,7 +224,7 @@ def classify_license(c: C) -> Column:
     n = normalize_license(text(c))
     parts = F.filter(F.transform(F.split(n, r"\s+(?:OR|AND|WITH)\s+"), F.trim), lambda p: p != "")
     named = F.transform(parts, normalize_license)
-    free, left = F.exists(named, lambda p: p.isin(PERMISSIVE)), F.exists(named, lambda p: p.isin(COPYLEFT))
+    free, left = (F.arrays_overlap(named, F.array(*[F.lit(x) for x in known])) for known in (PERMISSIVE, COPYLEFT))
     either = F.upper(n).contains(" OR ")
     return F.when(either & free, "permissive").when(left, "copyleft").when(free, "permissive").otherwise("unknown")
 

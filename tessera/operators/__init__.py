@@ -1 +1 @@
-
+"""Query operators: DataFrame in, DataFrame out."""
