@@ -222,7 +222,7 @@ def normalize_license(c: C) -> Column:
 def classify_license(c: C) -> Column:
     """permissive, copyleft or unknown; in an OR the permissive branch wins, in AND and WITH the copyleft one."""
     n = normalize_license(text(c))
-    parts = F.filter(F.transform(F.split(n, r"\s+(?:OR|AND|WITH)\s+"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(n, r"\s+(?:OR|AND|WITH)\s+"), lambda p: F.trim(p)), lambda p: p != "")
     named = F.transform(parts, normalize_license)
     free, left = (F.arrays_overlap(named, F.array(*[F.lit(x) for x in known])) for known in (PERMISSIVE, COPYLEFT))
     either = F.upper(n).contains(" OR ")
