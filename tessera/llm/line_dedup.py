@@ -1,25 +1,29 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-1. Distinct lines (trimmed, lower-cased) get min-hashes of their character shingles: one row per shingle inside the
-   stage, 64-bit hashes, one `min(hash xor seed)` per permutation. Rows a band are hashed to a bucket key.
-2. Each line is paired with the smallest line of each of its buckets, so the pairs are linear in the lines whatever a
-   bucket holds. Two-bit sketches of the signatures drop chance pairs; the rest form clusters.
-3. Clusters are cut into blocks; every two blocks of a cluster are compared once, all lines by exact Jaccard similarity
-   of their whole shingle sets, inside one row. Only links come out.
+1. Distinct lines (trimmed, lower-cased) get a one-permutation MinHash: each character shingle that starts a word is
+   hashed once (in lines with few blanks, each shingle), the hash picks a bin, and a line keeps the least value of each
+   bin. ROWS bins make a band; a band's values are a bucket key.
+2. A line is paired with the smallest and the largest line of each of its buckets, so the pairs are linear in the lines
+   whatever a bucket holds. Two-bit sketches of the bins drop chance pairs; the rest form clusters.
+3. The pairs are verified by exact Jaccard similarity of their whole shingle sets (shingles at every position). Lines of
+   a cluster that these links leave apart are then compared exhaustively: clusters are cut into blocks, every two blocks
+   meet once, and lines of different parts are compared inside one row. Only links come out.
 4. Distributed union-find over the links; of each component the first line (by doc_id, then position) stays.
+
+Texts are read again for each step instead of being shuffled or stored; what joins them is broadcast if a count shows
+at most ROWS_SENT rows and shuffled otherwise.
 """
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, cut, free_name, table
+from tessera.llm.common import components, cut, free_name, settle, small, table
 
-SHINGLE, BANDS, ROWS, BLOCK = 8, 9, 4, 48
-_SEEDS = [random.Random(100 + j).getrandbits(64) - (1 << 63) for j in range(BANDS * ROWS)]
+SHINGLE, BANDS, ROWS, BLOCK = 8, 8, 3, 48
+BINS = BANDS * ROWS
+ROWS_SENT = 400_000
 
 
 def normal(line: str | Column) -> Column:
@@ -42,62 +46,122 @@ def _last(units: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, ord, pos, lid, norm): the lines that are not blank; doc is a hash of doc_id and text."""
-    d = docs.where("text <> ''").select(F.xxhash64("doc_id", "text").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("ord"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    d = d.select("doc", "ord", "pos", normal("line").alias("norm")).where("norm <> ''")
-    return d.withColumn("lid", F.xxhash64("norm"))
+    """(doc, ord, pos, lid, norm): the lines that are not blank; doc is a hash of doc_id and text, lid of the line."""
+    d = docs.where("text <> ''").select(F.xxhash64("doc_id", "text").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("ord"), F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
+    return d.select("doc", "ord", "pos", normal("line").alias("norm")).where("norm <> ''").withColumn("lid", F.xxhash64("norm"))
+
+
+def _bind(value: Column, f) -> Column:
+    """f(value), with the value computed once (as the only element of an array) however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """One row per distinct line: lid, keys (bucket keys), s0, s1 (low bits of the signature)."""
-    one = _lines(docs).groupBy("lid").agg(F.first("norm").alias("norm"))
-    each = one.select("lid", _units(F.col("norm")).alias("u")).select("lid", "u", F.explode(F.sequence(F.lit(0), _last(F.col("u")))).alias("i"))
-    hashed = each.select("lid", _shingle(F.col("u"), F.col("i")).alias("h"))
-    sig = hashed.groupBy("lid").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(s))).alias(f"m{j}") for j, s in enumerate(_SEEDS)])
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-
-    def bits(at: int) -> Column:
+    """One row per distinct line: lid, keys (bucket keys, of bands with a value), occ (bins with a value), s0, s1 (low bits)."""
+    starts = F.regexp_extract_all("norm", F.lit(rf"(?s)(?:^|(?<=[ \t]))(?=(.{{1,{SHINGLE}}}))"), F.lit(1))
+    every = F.regexp_extract_all("norm", F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    blanks = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit("")))
+    # outer, as an inner explode would evaluate its array again to filter empty ones
+    each = _lines(docs).select("lid", F.explode_outer(F.when(24 * (blanks + 1) < F.length("norm"), every).otherwise(starts)).alias("s"))
+    hashed = each.select("lid", F.xxhash64("s").alias("h"))
+    hashed = hashed.select("lid", F.pmod(F.shiftright("h", 32), F.lit(BINS)).cast("int").alias("bin"), F.col("h").bitwiseAND(0x7FFFFFFF).cast("int").alias("v"))
+    sig = hashed.groupBy("lid").agg(*[F.min(F.when(F.col("bin") == j, F.col("v"))).alias(f"m{j}") for j in range(BINS)])
+
+    def key(b: int) -> Column:
+        mine = [F.col(f"m{b * ROWS + r}") for r in range(ROWS)]
+        return F.when(F.coalesce(*mine).isNotNull(), F.xxhash64(F.lit(b), *[F.coalesce(m, F.lit(-1)) for m in mine]))
+
+    def bits(bit) -> Column:
         out = F.lit(0).cast("long")
-        for j in range(len(_SEEDS)):
-            out = out.bitwiseOR(F.shiftleft(F.shiftright(f"m{j}", at).bitwiseAND(F.lit(1).cast("long")), j))
+        for j in range(BINS):
+            out = out.bitwiseOR(F.shiftleft(F.coalesce(bit(F.col(f"m{j}")), F.lit(0)).cast("long"), j))
         return out
 
-    return sig.select("lid", keys.alias("keys"), bits(0).alias("s0"), bits(1).alias("s1"))
+    return sig.select("lid", F.filter(F.array(*[key(b) for b in range(BANDS)]), lambda k: k.isNotNull()).alias("keys"), bits(lambda m: m.isNotNull().cast("int")).alias("occ"), bits(lambda m: m.bitwiseAND(1)).alias("s0"), bits(lambda m: F.shiftright(m, 1).bitwiseAND(1)).alias("s1"))
 
 
-def _agree(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
-    """How many of the signature's values agree in both bits."""
-    return F.lit(len(_SEEDS)) - F.bit_count(a0.bitwiseXOR(b0).bitwiseOR(a1.bitwiseXOR(b1)))
+def _bind(value: Column, f) -> Column:
+    """f(value), with the value computed once (as the only element of an array) however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def line_components(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(node, comp) of the distinct lines (ids) that have a near line: exact Jaccard of character shingles >= percent/100."""
-    sig = cut(signatures(docs))
-    n = len(_SEEDS)
-    # values agree with probability J + (1 - J) / 4; four standard deviations below that
+def _alike(percent: int) -> Column:
+    """Whether the sketches of a pair (occ, s0, s1 and occ_, s0_, s1_) allow the similarity: values agree in both bits with
+    probability J + (1 - J) / 4; fewer than four standard deviations below that are out."""
+    diff = F.col("s0").bitwiseXOR(F.col("s0_")).bitwiseOR(F.col("s1").bitwiseXOR(F.col("s1_")))
+    agree = F.bit_count(F.col("occ").bitwiseAND(F.col("occ_")).bitwiseAND(F.bitwise_not(diff)))
+    n = F.bit_count(F.col("occ").bitwiseOR(F.col("occ_")))
     p = percent / 100 + (1 - percent / 100) / 4
-    least = int(n * p - 4 * (n * p * (1 - p)) ** 0.5)
-    spread = sig.select("lid", "s0", "s1", F.explode("keys").alias("key"))
-    lead = spread.groupBy("key").agg(F.min(F.struct("lid", "s0", "s1")).alias("lead"), F.count("*").alias("c")).where("c > 1").select("key", "lead")
-    pairs = spread.join(lead, "key").where((F.col("lid") != F.col("lead.lid")) & (_agree(F.col("s0"), F.col("s1"), F.col("lead.s0"), F.col("lead.s1")) >= least))
-    cluster = components(pairs.select(F.col("lid").alias("a"), F.col("lead.lid").alias("b")))
-    blocks = cluster.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    member = cut(cluster.join(blocks, "comp").select(F.col("node").alias("lid"), "comp", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
-    text = _lines(docs).select("lid", "norm").join(member, "lid").groupBy("lid", "comp", "blocks", "block").agg(F.first("norm").alias("norm")).withColumn("u", _units(F.col("norm")))
-    sets = F.array_distinct(F.transform(F.sequence(F.lit(0), _last(F.col("u"))), lambda i: _shingle(F.col("u"), i)))
-    packed = text.select("comp", "blocks", "block", F.struct("lid", sets.alias("set")).alias("line")).groupBy("comp", "blocks", "block").agg(F.collect_list("line").alias("lines"))
-    packed = cut(packed)
-    meet = packed.select("comp", F.col("block").alias("lo"), F.col("lines").alias("a"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("hi"))
-    meet = meet.join(packed.select("comp", F.col("block").alias("hi"), F.col("lines").alias("b")), ["comp", "hi"])
+    return agree >= F.floor(n * p - 4 * F.sqrt(n * p * (1 - p)))
+
+
+def _pairs(sig: DataFrame, percent: int) -> DataFrame:
+    spread = sig.select("lid", F.explode_outer("keys").alias("key"))
+    ends = cut(spread.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi"), F.count("*").alias("c")).where("c > 1 and key is not null"))
+    settle(sig.sparkSession)
+    two = ends.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    many = small(ends.where("c > 2").select("key", "lo", "hi"), ROWS_SENT)
+    more = spread.join(many, "key").where("lid <> lo and lid <> hi").select(F.col("lid").alias("a"), F.explode(F.array("lo", "hi")).alias("b"))
+    pairs = two.union(more).distinct()
+    one = sig.select(F.col("lid").alias("a"), "occ", "s0", "s1")
+    other = sig.select(F.col("lid").alias("b"), F.col("occ").alias("occ_"), F.col("s0").alias("s0_"), F.col("s1").alias("s1_"))
+    return pairs.join(one, "a").join(other, "b").where(_alike(percent)).select("a", "b")
+
+
+def _set(norm: Column) -> Column:
+    """Distinct shingle hashes of a line."""
+    return _bind(_units(norm), lambda u: F.array_distinct(F.transform(F.sequence(F.lit(0), _last(u)), lambda i: _shingle(u, i))))
+
+
+def _near(x: Column, y: Column, percent: int) -> Column:
+    """Whether two shingle sets are alike; sizes decide first."""
+    sx, sy = F.size(x), F.size(y)
+    both = F.size(F.array_intersect(x, y))
+    return F.when(100 * F.least(sx, sy) >= percent * F.greatest(sx, sy), 100 * both >= percent * (sx + sy - both)).otherwise(False)
+
+
+def _links(a: Column, b: Column, same: Column, percent: int) -> Column:
+    """Links between the lines (lid, part, norm) of two blocks that are of different parts; each line's set is made once."""
+
+    def sets(block: Column) -> Column:
+        return F.transform(block, lambda line: F.struct(line["lid"].alias("lid"), line["part"].alias("part"), _set(line["norm"]).alias("set")))
 
     def test(x: Column, y: Column) -> Column:
-        sx, sy, both = F.size(x["set"]), F.size(y["set"]), F.size(F.array_intersect(x["set"], y["set"]))
-        once = (x["lid"] < y["lid"]) | (F.col("lo") != F.col("hi"))
-        sizes = 100 * F.least(sx, sy) >= percent * F.greatest(sx, sy)
-        return F.when(once & sizes, 100 * both >= percent * (sx + sy - both)).otherwise(False)
+        return F.when(((x["lid"] < y["lid"]) | ~same) & (x["part"] != y["part"]), _near(x["set"], y["set"], percent)).otherwise(False)
+
+    def pairs(z: Column) -> Column:
+        return F.flatten(F.transform(z["a"], lambda x: F.transform(F.filter(z["b"], lambda y: test(x, y)), lambda y: F.struct(x["lid"].alias("a"), y["lid"].alias("b")))))
 
-    links = F.flatten(F.transform("a", lambda x: F.transform(F.filter("b", lambda y: test(x, y)), lambda y: F.struct(x["lid"].alias("a"), y["lid"].alias("b")))))
-    return components(meet.select(F.explode(links).alias("e")).select("e.a", "e.b"))
+    return _bind(F.struct(sets(a).alias("a"), sets(b).alias("b")), pairs)
+
+
+def line_components(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """(node, comp) of the distinct lines (ids) that have a near line: exact Jaccard of character shingles >= percent/100."""
+    spark = docs.sparkSession
+    sig = cut(signatures(docs))
+    settle(spark)
+    pairs = cut(_pairs(sig, percent))
+    cluster = components(pairs)
+    del sig
+    settle(spark)
+    lines = _lines(docs).select("lid", "norm").join(small(cluster.withColumnRenamed("node", "lid"), ROWS_SENT), "lid")
+    lines = cut(lines.groupBy("lid").agg(F.first("comp").alias("comp"), F.first("norm").alias("norm")))
+    settle(spark)
+    side = lambda c: lines.select(F.col("lid").alias(c), F.col("norm").alias(f"norm_{c}"))
+    tested = pairs.join(side("a"), "a").join(side("b"), "b").repartition("a", "b")
+    sets = F.struct(_set(F.col("norm_a")).alias("a"), _set(F.col("norm_b")).alias("b"))
+    sure = cut(tested.where(_bind(sets, lambda z: _near(z["a"], z["b"], percent))).select("a", "b"))
+    part = components(sure).select(F.col("node").alias("lid"), F.col("comp").alias("part"))
+    # what is left: clusters of three lines or more in several parts (of two lines the one pair has been tested)
+    lines = lines.join(part, "lid", "left").withColumn("part", F.coalesce("part", "lid"))
+    size = lines.groupBy("comp").agg(F.count("*").alias("n"), F.count_distinct("part").alias("parts")).where("n > 2 and parts > 1")
+    lines = lines.join(size.select("comp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "comp").withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int"))
+    packed = cut(lines.groupBy("comp", "blocks", "block").agg(F.collect_list(F.struct("lid", "part", "norm")).alias("lines")))
+    meet = packed.select("comp", F.col("block").alias("lo"), F.col("lines").alias("a"), F.explode_outer(F.sequence("block", F.col("blocks") - 1)).alias("hi"))
+    alone = meet.where("lo = hi").select("comp", "lo", "hi", "a", F.col("a").alias("b"))
+    meet = meet.where("lo < hi").join(packed.select("comp", F.col("block").alias("hi"), F.col("lines").alias("b")), ["comp", "hi"]).select("comp", "lo", "hi", "a", "b")
+    more = alone.union(meet).repartition("comp", "lo", "hi").select(F.explode_outer(_links(F.col("a"), F.col("b"), F.col("lo") == F.col("hi"), percent)).alias("e"))
+    return components(sure.union(more.where("e is not null").select("e.a", "e.b")))
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -110,13 +174,16 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     the same result. Lines and texts of any length are compared whole. All columns stay as they are; the struct's name
     gets underscores on a clash. Empty table: no rows. Lines are told apart by 64-bit hashes.
     """
-    comp = line_components(docs, percent).withColumnRenamed("node", "lid")
+    comp = small(line_components(docs, percent).withColumnRenamed("node", "lid"), ROWS_SENT)
     occ = _lines(docs).select("doc", "ord", "pos", "lid").join(comp, "lid", "left").select("doc", "ord", "pos", F.coalesce("comp", "lid").alias("comp"))
-    occ = cut(occ.distinct())
-    first = occ.groupBy("comp").agg(F.min(F.struct("ord", "doc", "pos")).alias("first"), F.count("*").alias("c")).where("c > 1")
+    occ = cut(occ)
+    # an occurrence as one comparable value, so that the first is a plain minimum
+    first = occ.groupBy("comp").agg(F.min(F.struct("ord", "doc", "pos")).alias("first"), F.count("*").alias("c")).where("c > 1").select("comp", "first")
     drop = occ.join(first, "comp").where(~((F.col("doc") == F.col("first.doc")) & (F.col("pos") == F.col("first.pos"))))
-    drop = drop.groupBy("doc").agg(F.collect_list("pos").alias("gone"))
-    row = docs.select(F.struct("*").alias("row"), F.when(F.col("text") != "", F.xxhash64("doc_id", "text")).alias("doc")).join(drop, "doc", "left")
+    drop = cut(drop.groupBy("doc").agg(F.collect_set("pos").alias("gone")))
+    settle(docs.sparkSession)
+    light = drop.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0] <= 10 * ROWS_SENT
+    row = docs.select(F.struct("*").alias("row"), F.when(F.col("text") != "", F.xxhash64("doc_id", "text")).alias("doc")).join(small(drop, ROWS_SENT) if light else drop, "doc", "left")
     parts = F.split("row.text", "\n")
     n = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(parts))
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone")
