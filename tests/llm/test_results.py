@@ -1,0 +1,230 @@
+"""Results against brute force, exact round trips and held-out accuracy."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import decontam, html_text, langid, license_scan, line_dedup, mixing, near_dup, pii, topk, toxicity
+from tessera.llm.common import components
+
+
+def _words(r, n, kind="en"):
+    syll = {"en": "th an re on ing ed er st ou ly", "fr": "é le eau qu oi eux tre ment è que", "de": "sch ei ung ü keit ge ver ß en ach"}[kind].split()
+    return " ".join("".join(r.choice(syll) for _ in range(r.randint(1, 4))) for _ in range(n))
+
+
+def test_components(spark):
+    r = random.Random(1)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(5, 5), (None, 3)]
+    parent = list(range(200))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    want = {(x, find(x)) for e in edges if e[0] is not None and e[0] != e[1] for x in e}
+    got = components(spark.createDataFrame(edges, "a long, b long"))
+    assert {tuple(x) for x in got.collect()} == want
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    r = random.Random(2)
+    texts = []
+    for g in range(12):
+        base = _words(r, r.randint(30, 120)).split()
+        for _ in range(r.randint(1, 30)):
+            w = [x if r.random() > 0.02 else "zz" + str(r.random())[2:8] for x in base]
+            texts.append(" ".join(w))
+    texts += ["", "one two", "one two", "ONE  two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set()))
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            k = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * k >= 85 * (len(sets[i]) + len(sets[j]) - k):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(docs, 3, 85, block=16).collect()}
+    assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
+
+
+def test_line_dedup_equals_brute_force(spark):
+    r = random.Random(3)
+    base = [_words(r, r.randint(8, 30)) for _ in range(40)]
+    docs = [(i, "\n".join((lambda x: x if r.random() < 0.5 else x.replace("th", "ht", 1))(r.choice(base)) for _ in range(6))) for i in range(25)]
+    first, order = {}, []
+    for i, t in docs:
+        for p, l in enumerate(t.split("\n")):
+            k = l.strip().lower()
+            if k not in first:
+                first[k] = (i, p)
+                order.append(k)
+    grams = {k: {k[a : a + 8] for a in range(max(len(k) - 7, 1))} for k in order}
+    parent = {k: k for k in order}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in order:
+        for b in order:
+            if a < b and 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b]):
+                x, y = find(a), find(b)
+                if x != y:
+                    parent[y if first[x] < first[y] else x] = x if first[x] < first[y] else y
+    want = {i: "\n".join(l for p, l in enumerate(t.split("\n")) if first[find(l.strip().lower())] == (i, p)) for i, t in docs}
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {x["doc_id"]: x["lines"]["text"] for x in got.collect()} == want
+
+
+def test_top_k_equals_brute_force():
+    rng = np.random.default_rng(4)
+    x = rng.integers(-60, 60, (3000, 16))
+    ids = np.arange(3000)
+    x[5] = x[17]
+    got = topk.search_shard(ids, x, ids[:40], x[:40], 5)
+    s = x[:40] @ x.T
+    want = [(q, int(v), int(s[q, v])) for q in range(40) for v in [j for j in np.lexsort((ids, -s[q])) if j != q][:5]]
+    assert got == want
+    big = x.astype(np.int64) * (1 << 26)  # sums that doubles can't hold exactly
+    assert [g[:2] for g in topk.search_shard(ids, big, ids[:5], big[:5], 5)] == [w[:2] for w in want[:25]]
+
+
+def test_mix_targets_and_nearness(spark):
+    r = random.Random(5)
+    rows = [(i, _words(r, r.randint(1, 40)), r.choice(["a", "b", "c", "d", None])) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs).select("doc_id", "source", "mix.*").collect()
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    names = sorted(s for s in sizes if s is not None) + [None]
+    w = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, open_, budget = {}, set(names), 1.5 * sum(sizes.values())
+    while True:
+        level = (budget - sum(target.values())) / sum(w[s] for s in open_) if open_ else 0
+        over = {s for s in open_ if level * w[s] >= 2 * sizes[s]}
+        if not over:
+            break
+        target |= {s: 2.0 * sizes[s] for s in over}
+        open_ -= over
+    target |= {s: level * w[s] for s in open_}
+    taken = {}
+    for g in got:
+        assert g["target"] == pytest.approx(target[g["source"]]) and g["taken"] <= 2 * g["size"]
+        taken[g["source"]] = taken.get(g["source"], 0) + g["taken"]
+    assert all(abs(taken[s] - target[s]) <= 40 for s in names)
+    again = mixing.mix_sources(docs.repartition(7)).select("doc_id", "mix.taken").collect()
+    assert {tuple(x) for x in again} == {(g["doc_id"], g["taken"]) for g in got}
+
+
+def test_language_held_out(spark):
+    r = random.Random(6)
+    rows = [(i, _words(r, r.randint(3, 60), k), k, "s") for i in range(600) for k in [("en", "fr", "de")[i % 3]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {x["doc_id"]: x["lang_pred"] for x in langid.identify(docs, F.col("doc_id") % 4 != 1).collect()}
+    held = [r for r in rows if r[0] % 4 == 1]
+    assert np.mean([got[h[0]] == h[2] for h in held]) > 0.97
+    assert langid.codewords(9).shape[0] == 9 and len({tuple(c) for c in langid.codewords(9)}) == 9
+
+
+def test_toxicity_held_out(spark):
+    r = random.Random(7)
+    rows = []
+    for i in range(500):
+        w, bad = _words(r, r.randint(20, 150)).split(), i % 5 == 0
+        for _ in range(3 * bad):
+            w[r.randrange(len(w))] = r.choice(["gronk", "smerd", "blatz"])
+        rows.append((i, " ".join(w), int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs, docs.select("doc_id", "toxic"), F.col("doc_id") % 3 != 0)
+    got = {x["doc_id"]: x["score"] for x in toxicity.scored(docs, model).collect()}
+    held = [x for x in rows if x[0] % 3 == 0]
+    assert np.mean([(got[h[0]] >= 0.3) == h[2] for h in held]) > 0.95
+    long = " ".join([_words(r, 5000), "gronk smerd blatz", _words(r, 5000)])
+    alone = toxicity.scored(spark.createDataFrame([(1, long), (2, _words(r, 9000))], "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert alone[0]["score"] > 0.3 > alone[1]["score"]
+
+
+def test_toxicity_gradients():
+    rng = np.random.default_rng(8)
+    p = {k: v.astype(np.float64) for k, v in toxicity.init(rng).items() if k not in ("word", "char")}
+    x = rng.standard_normal((12, 2 * toxicity.WIDTH))
+    idx, n = rng.integers(0, 12, (3, 5)), np.array([5, 3, 1])
+    g, dx = toxicity.backward(p, x, idx, toxicity.forward(p, x, idx, n, keep=True)[1], np.array([1.0, -0.5, 2.0]))
+    f = lambda: float(toxicity.forward(p, x, idx, n) @ np.array([1.0, -0.5, 2.0]))
+    for name, a in (*p.items(), ("x", x)):
+        at = tuple(rng.integers(0, s) for s in a.shape)
+        old, e = a[at], 1e-4
+        a[at] = old + e
+        up = f()
+        a[at] = old - e
+        down = f()
+        a[at] = old
+        assert (dx if name == "x" else g[name])[at] == pytest.approx((up - down) / (2 * e), abs=2e-3)
+
+
+def test_pii_keeps_format_links_and_bijection(spark):
+    card = [f"{x:016d}" for x in range(4111111111110000, 4111111111110400)]
+
+    def luhn(s):
+        d = [int(c) for c in reversed(s)]
+        return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
+
+    rows = [(c,) for c in card] + [("+1 (487) 555-7209",), ("2001-02-29",), ("2004-02-29",), ("300.1.1.1",), ("30.1.1.1",)]
+    got = [r["pii"]["text"] for r in pii.pseudonymise(spark.createDataFrame(rows, "text string")).collect()]
+    for c, g in zip(card, got):
+        assert (g != c and luhn(g) and len(g) == 16) if luhn(c) else g == c
+    assert len({g for c, g in zip(card, got) if luhn(c)}) == sum(map(luhn, card))
+    assert got[-5].startswith("+1 (") and got[-5] != rows[-5][0] and len(got[-5]) == len(rows[-5][0])
+    assert got[-4] == "2001-02-29" and got[-3] != "2004-02-29" and got[-2] == "300.1.1.1" and got[-1] != "30.1.1.1"
+    twice = spark.createDataFrame([("a 4111111111111111 b",), ("4111-1111-1111-1111",)], "text string")
+    x, y = (r["pii"]["text"] for r in pii.pseudonymise(twice).collect())
+    assert x.split()[1] == y.replace("-", "") and pii.pseudonymise(twice, "other").first()["pii"]["text"] != x
+
+
+def test_decontamination(spark):
+    item = "A farmer named Alice sells 12 eggs for 3 dollars each and then walks 5 km home along the quiet river road"
+    copy = "intro words here. " + item + " and more words after"
+    other = item.replace("Alice", "Robert").replace("12", "40").replace("3 dollars", "7 dollars")
+    broken = "A farmer named Alice sells 12 eggs but nobody ever bought any of them in the small town of course"
+    docs = spark.createDataFrame([(1, copy), (2, "x " + other), (3, broken), (4, "nothing at all"), (5, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.contaminated(docs, spark.createDataFrame([(9, item), (10, "a b"), (11, None)], "item_id long, text string")).collect()}
+    assert set(got) == {1, 2} and got[1]["changed"] == 0 and got[2]["changed"] >= 2
+
+
+def test_license_scan(spark):
+    mit = license_scan.TEXTS[0][3]
+    rows = [(1, "MIT LICENSE\n\nCopyright (c) 2020 A. Person\n\n" + mit.upper()), (2, "text\nReleased under the MIT Licence.\nmore"), (3, "MIT stands here"), (4, "Copyright 2020 me"), (5, None)]
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["ids"] == ["MIT"] and got[1]["whole"] and got[2]["ids"] == ["MIT"] and not got[2]["whole"]
+    assert got[3]["ids"] == got[4]["ids"] == got[5]["ids"] == []
+
+
+def test_html_main_text():
+    r, perfect = random.Random(11), 0
+    model = html_text.trained()
+    for _ in range(60):
+        source, marks = html_text.generated(r)
+        text = html_text.main_texts(model, [source])[0]
+        perfect += {w for w in text.split() if w[0] == "m" and w[-1] == "x" and w[1:-1].isdigit()} == marks
+    assert perfect >= 50
+    page = "<html><body><nav><a href=/>Home</a> <a href=/b>News</a></nav><article><h1>Big &amp; bold</h1><p>One <b>two</b>\n three.<p>Four<br>five six, seven eight nine ten eleven twelve.</article><div class='comments'><p>I like this very much, dear author, thanks.</p></div><footer>&copy; us</footer></body></html>"
+    assert html_text.main_texts(model, [page]) == ["Big & bold One two three. Four five six, seven eight nine ten eleven twelve."]
+    assert html_text.main_texts(model, ["", "<p", "no markup &lt;here&gt;"])[0] == ""
