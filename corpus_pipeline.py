@@ -13,9 +13,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Learns from the rows' own lang labels. Null texts go (no letters). All other rows stay unchanged.
     """
-    packed = docs.select(F.struct("*").alias("row"), "doc_id", "text", "lang")
-    known = langid.identify(packed, F.lit(True), keep=("row",))
-    return known.where((F.col("lang_pred") != "und") & ~(F.col("ambiguous") & (F.col("score") < 0.5))).select("row.*")
+    r = free_name(docs, "row")
+    packed = docs.select(F.struct("*").alias(r), "doc_id", "text", "lang")
+    known = langid.identify(packed, F.lit(True), keep=(r,))
+    return known.where((F.col("lang_pred") != "und") & ~(F.col("ambiguous") & (F.col("score") < 0.5))).select(f"{r}.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +39,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rest = docs.join(small(gone), (F.xxhash64("text") == F.col("gone_key")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
     if not docs.groupBy("doc_id", F.xxhash64("text")).count().where("count > 1").limit(1).count():
         return rest
-    one = Window.partitionBy("row.doc_id", F.xxhash64("row.text")).orderBy(F.to_json("row"))
-    return rest.select(F.struct("*").alias("row")).withColumn("at", F.row_number().over(one)).where("at = 1").select("row.*")
+    r = free_name(docs, "row")
+    one = Window.partitionBy(f"{r}.doc_id", F.xxhash64(f"{r}.text")).orderBy(F.to_json(r))
+    return rest.select(F.struct("*").alias(r)).withColumn("at", F.row_number().over(one)).where("at = 1").select(f"{r}.*")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -126,9 +126,12 @@ def scan(docs: DataFrame) -> DataFrame:
     hits = hits.groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"), F.sort_array(F.collect_set("class")).alias("classes"), F.max(F.col("level") == "document").alias("whole"))
     hits = cut(hits.select("key", F.struct("ids", "classes", "whole").alias("hit")))
     none = F.array().cast("array<string>")
-    out = docs.select(F.struct("*").alias("row"), key.alias("key")).join(small(hits), "key", "left")
+    whole_row = free_name(docs, "row")
+    out = docs.select(F.struct("*").alias(whole_row), key.alias("key")).join(small(hits), "key", "left")
     found = F.struct(F.coalesce("hit.ids", none).alias("ids"), F.coalesce("hit.classes", none).alias("classes"), F.coalesce("hit.whole", F.lit(False)).alias("whole"))
-    return out.select("row.*", found.alias(free_name(docs, "licenses")))
+    # the result before the star: an expanded column would take the place of one of the same name here
+    name = free_name(docs, "licenses")
+    return out.select(whole_row, found.alias(name)).select(f"{whole_row}.*", name)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,13 +183,16 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     drop = cut(drop.groupBy("doc").agg(F.collect_set("pos").alias("gone")))
     settle(docs.sparkSession)
     light = drop.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0] <= 10 * ROWS_SENT
-    row = docs.select(F.struct("*").alias("row"), F.when(F.col("text") != "", F.xxhash64("doc_id", "text")).alias("doc")).join(small(drop, ROWS_SENT) if light else drop, "doc", "left")
-    parts = F.split("row.text", "\n")
-    n = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(parts))
+    r = free_name(docs, "row")
+    row = docs.select(F.struct("*").alias(r), F.when(F.col("text") != "", F.xxhash64("doc_id", "text")).alias("doc")).join(small(drop, ROWS_SENT) if light else drop, "doc", "left")
+    parts = F.split(f"{r}.text", "\n")
+    n = F.when(F.col(f"{r}.text").isNull(), 0).otherwise(F.size(parts))
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone")
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
+    text = F.when(F.col("gone").isNull(), F.col(f"{r}.text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
     made = F.struct(text.alias("text"), n.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
-    return row.select("row.*", made.alias(free_name(docs, "lines")))
+    # the result before the star: an expanded column would take the place of one of the same name here
+    name = free_name(docs, "lines")
+    return row.select(r, made.alias(name)).select(f"{r}.*", name)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

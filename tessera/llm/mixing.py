@@ -99,11 +99,14 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     slim = cut(docs.select("source", hash_of("doc_id", "text").alias("h"), size_of("text").alias("size")))
     plan = thresholds(slim, targets(slim, weights, share, most))
     plan = plan.select(F.struct("*").alias("plan"))
-    row = docs.select(F.struct("*").alias("row"), "source", hash_of("doc_id", "text").alias("h"), size_of("text").alias("size"))
+    r = free_name(docs, "row")
+    row = docs.select(F.struct("*").alias(r), "source", hash_of("doc_id", "text").alias("h"), size_of("text").alias("size"))
     row = row.join(small(plan), F.col("source").eqNullSafe(F.col("plan.source")))
     copies = F.col("plan.copies") + (F.col("h") <= F.col("plan.upto")).cast("long")
     mixed = F.struct("size", F.col("plan.source_size").alias("source_size"), F.col("plan.target").alias("target"), (copies * F.col("size")).alias("taken"), copies.alias("copies"))
-    return row.select("row.*", mixed.alias(free_name(docs, "mix")))
+    # the result before the star: an expanded column would take the place of one of the same name here
+    name = free_name(docs, "mix")
+    return row.select(r, mixed.alias(name)).select(f"{r}.*", name)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

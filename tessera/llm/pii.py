@@ -152,8 +152,9 @@ def pseudonymise(docs: DataFrame, key: str = "tessera-key-1") -> DataFrame:
     A null text stays null with counts 0, an empty one empty. Whole texts of any length are searched. Repeated rows get
     equal results. All columns stay as they are; the struct's name gets underscores on a clash. Empty table: no rows.
     """
-    text = F.col("row.text")
-    row = docs.select(F.struct("*").alias("row")).withColumn("hits", F.when(text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    r = free_name(docs, "row")
+    text = F.col(f"{r}.text")
+    row = docs.select(F.struct("*").alias(r)).withColumn("hits", F.when(text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
     row = row.withColumn("made", F.transform("hits", lambda m: pseudonym(m, key)))
     row = row.withColumn("kinds", F.sort_array(F.array_distinct(F.filter(F.transform("hits", kind_of), lambda k: k.isNotNull()))))
     # the text between the values, and after each piece its value's replacement (nothing after the last)
@@ -166,7 +167,9 @@ def pseudonymise(docs: DataFrame, key: str = "tessera-key-1") -> DataFrame:
         F.when(none, 0).otherwise(changed).cast("long").alias("n_replaced"),
         F.when(none, F.array().cast("array<string>")).otherwise(F.col("kinds")).alias("kinds"),
     )
-    return row.select("row.*", made.alias(free_name(docs, "pii")))
+    # the result before the star: an expanded column would take the place of one of the same name here
+    name = free_name(docs, "pii")
+    return row.select(r, made.alias(name)).select(f"{r}.*", name)
 
 
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

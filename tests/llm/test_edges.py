@@ -18,7 +18,7 @@ ROWS = [
     (8, "!!! 123 ???", "en", "c"),
     (9, "x", "de", "c"),
 ]
-EXTRA = ["size", "key", "n", "row", "gone", "score", "mix", "lines", "pii", "licenses", "doc", "taken", "kept"]
+EXTRA = ["size", "key", "n", "row", "gone", "score", "mix", "lines", "pii", "licenses", "doc", "taken", "kept", "hits", "made", "kinds", "hit", "plan", "h", "comp", "n_lines"]
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +56,14 @@ def test_empty_table(empty, name):
     assert OPERATORS[name](empty).collect() == []
 
 
+@pytest.mark.parametrize("name", ["lines", "mix", "pii", "licenses"])
+def test_clashing_columns_change_nothing(docs, name):
+    plain = OPERATORS[name](docs.select("doc_id", "text", "lang", "source")).collect()
+    full = OPERATORS[name](docs).collect()
+    assert sorted((str(r["doc_id"]), str(r[-1])) for r in full) == sorted((str(r["doc_id"]), str(r[-1])) for r in plain)
+    assert all(r[c] == "x" for r in full for c in EXTRA)
+
+
 def test_near_dup_rows(docs):
     got = {(r["doc_id"], r["n_shingles"]): r for r in near_dup.near_duplicates(docs).collect()}
     assert got[(2, 10)]["component_id"] == 1 and not got[(2, 10)]["kept"]
