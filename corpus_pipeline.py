@@ -15,7 +15,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     r = free_name(docs, "row")
     packed = docs.select(F.struct("*").alias(r), "doc_id", "text", "lang")
-    known = langid.identify(packed, F.lit(True), keep=(r,))
+    known = langid.identify(packed, F.lit(True), keep=(r,), text_in=r)
     return known.where((F.col("lang_pred") != "und") & ~(F.col("ambiguous") & (F.col("score") < 0.5))).select(f"{r}.*")
 
 

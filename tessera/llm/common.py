@@ -52,14 +52,41 @@ def with_fields(df: DataFrame, keep: tuple[str, ...], more: str) -> T.StructType
     return T.StructType([*df.select(*keep).schema.fields, *T._parse_datatype_string(more).fields])
 
 
+def release() -> None:
+    """Give freed memory of this Python worker back; workers live on from task to task beside the executor's heap."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, f, schema) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches):
+        for out in f(batches):
+            yield out
+            del out
+            release()
+
+    return df.mapInArrow(run, schema)
 
 
 def group_arrow(df: DataFrame, keys: list[str], f, schema) -> DataFrame:
     ship(df.sparkSession)
-    return df.groupBy(*keys).applyInArrow(f, schema)
+
+    def run(key, tbl):
+        out, large = f(key, tbl), tbl.nbytes > 4 << 20
+        if large:
+            del tbl
+            release()
+        return out
+
+    return df.groupBy(*keys).applyInArrow(run, schema)
 
 
 def _shared(spark: SparkSession) -> str:

@@ -137,23 +137,25 @@ def train(docs: DataFrame, use: Column, train_docs: int = TRAIN_DOCS) -> tuple[l
     return langs, fit(x, np.array([langs.index(g[0]) for g in got]), len(langs))
 
 
-def identify(docs: DataFrame, use: Column, keep: tuple[str, ...] = ("doc_id",), lead: float = 0.2) -> DataFrame:
+def identify(docs: DataFrame, use: Column, keep: tuple[str, ...] = ("doc_id",), lead: float = 0.2, text_in: str | None = None) -> DataFrame:
     """One row per row of docs: the columns `keep`, lang_pred, score (0 to 1) and ambiguous.
 
     `use` marks the rows to learn from; docs needs doc_id, text and lang. Whole texts are read, of any length. A null or
     empty text or one without letters gets `und` with score 0 and is ambiguous; so does every text if no row can be
     learnt from. With one known language every other text gets it, score 1. Equal texts get equal results; ties go to
-    the language that sorts first. Clashing and further columns are not looked at. Empty table: no rows.
+    the language that sorts first. text_in names a struct column of `keep` that holds the text, which then isn't sent
+    twice. Clashing and further columns are not looked at. Empty table: no rows.
     """
     langs, model = train(docs, use)
     n = len(keep)
+    at = keep.index(text_in) if text_in else None
 
     def predict(batches):
         import pyarrow as pa
 
         for b in batches:
             best, score, gap, some = [], [], [], []
-            for x, letters in _sliced(b.column(n)):
+            for x, letters in _sliced(b.column(n) if at is None else b.column(at).field("text")):
                 i, p, g = decode(model, x) if langs else (np.zeros(len(x), int), np.zeros(len(x)), np.zeros(len(x)))
                 best.append(i)
                 score.append(p)
@@ -166,7 +168,7 @@ def identify(docs: DataFrame, use: Column, keep: tuple[str, ...] = ("doc_id",),
             p, g = np.where(some, np.concatenate(score), 0.0), np.where(some, np.concatenate(gap), 0.0)
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(names, pa.string()), pa.array(p), pa.array(g < lead)], [*b.schema.names[:n], "lang_pred", "score", "ambiguous"])
 
-    return map_arrow(docs.select(*keep, F.col("text").alias("text__")), predict, with_fields(docs, keep, "lang_pred string, score double, ambiguous boolean"))
+    return map_arrow(docs.select(*keep, F.col("text").alias("text__")) if at is None else docs.select(*keep), predict, with_fields(docs, keep, "lang_pred string, score double, ambiguous boolean"))
 
 
 def fold(k: int) -> Column:

@@ -12,7 +12,7 @@ def sf_dir(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("tables"))
     plain = lambda i: " ".join(f"w{i}x{j} some common words" for j in range(12))
     rows = [(i, plain(i), "en", f"s{i % 3}", 1) for i in range(40)]
-    near = plain(0).replace("w0x5", "changed")
+    near = plain(0).replace("w0x0", "changed")
     rows += [(100, near, "en", "s0", 1), (101, plain(1), "en", "s1", 1), (102, "before it " + ITEM + " after it", "en", "s2", 1), (103, "12345 !!", "en", "s0", 1), (104, None, "en", None, None), (105, plain(2) + "\nshared line that stands in two documents of the set", "en", "s1", 1), (106, plain(300) + "\nshared line that stands in two documents of the set", "en", "s1", 1), (None, plain(400), None, None, 1)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
@@ -37,7 +37,7 @@ def test_stages(spark, sf_dir):
 def test_stage_drops_near_copies(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ids = [r["doc_id"] for r in c.near_duplicates(spark, docs.union(docs.where("doc_id = 7")), sf_dir).collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({*range(40), 102, 103, 104, 105, 106} - {104} | {104}) and 100 not in ids and 101 not in ids
+    assert sorted(i for i in ids if i is not None) == [*range(40), 102, 103, 104, 106] and 100 not in ids and 101 not in ids
 
 
 def test_run_equals_stages(spark, sf_dir):
