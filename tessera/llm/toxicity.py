@@ -3,7 +3,8 @@
 A word enters as two sums of trainable vectors: one for the word itself (hashed), one for its characters (hashed
 n-grams of 3 to 5 bytes, the word's edges included). Texts are cut into overlapping windows of WINDOW words, STRIDE
 apart, that cover every word. In each window the network reads the words in both directions, attention weighs the
-states, and a logistic unit scores the weighted sum. A document's score is that of its highest window.
+states, and a logistic unit scores the weighted sum. A document's score is a logistic function of its highest and its
+third-highest window: one word stands in two windows, so the third shows whether there is more.
 """
 
 from __future__ import annotations
@@ -182,7 +183,7 @@ def gather(code: np.ndarray, windows: np.ndarray) -> np.ndarray:
 
 
 def score_texts(p: dict, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Each text's highest window score."""
+    """Each text's highest and third-highest window scores (its lowest if it has fewer)."""
     code, first, h, (chars, count) = words(buf, offsets)
     x = vectors(p, h, chars, np.cumsum(count) - count, count)
     win, of = window_index(first)
@@ -190,7 +191,19 @@ def score_texts(p: dict, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     for a in range(0, len(win), 2048):
         w = win[a : a + 2048]
         s[a : a + 2048] = forward(p, x, gather(code, w), w[:, 1])
-    return np.maximum.reduceat(s, np.searchsorted(of, np.arange(len(offsets) - 1)))
+    return best_windows(s, of, len(offsets) - 1)
+
+
+def best_windows(s: np.ndarray, of: np.ndarray, texts: int) -> np.ndarray:
+    order = np.lexsort((-s, of))
+    begin = np.searchsorted(of, np.arange(texts))
+    last = np.append(begin[1:], len(of)) - 1
+    return np.stack([s[order[begin]], s[order[np.minimum(begin + 2, last)]]], 1).astype(np.float64)
+
+
+def chance(p: dict, best: np.ndarray) -> np.ndarray:
+    """Document scores from best_windows."""
+    return 1 / (1 + np.exp(-np.clip(best @ p["platt"][:2] + p["platt"][2], -30, 30)))
 
 
 def _corpus(texts: list[bytes]):
@@ -224,7 +237,14 @@ def fit(texts: list[bytes], y: np.ndarray, toxic_share: float | None = None, rou
     if not len(texts) or len(set(y.tolist())) < 2:
         p["out"][:] = 0
         p["bias"][:] = 4.0 if len(y) and y[0] == 1 else -4.0
+        p["platt"] = np.array([1.0, 0.0, 0.0])
         return p
+    # a fifth of the documents is kept for the scaling of scores, if it holds enough of either label
+    last = np.arange(len(y)) % 5 == 4
+    held = (texts, y)
+    if min((y[last] == 1).sum(), (y[last] == 0).sum()) >= 100:
+        held, y = ([t for t, k in zip(texts, last) if k], y[last]), y[~last]
+        texts = [t for t, k in zip(texts, last) if not k]
     code, first, h, chars, start, count = _corpus(texts)
     win, of = window_index(first)
     # document frequencies by label start the first column of either table
@@ -281,19 +301,24 @@ def fit(texts: list[bytes], y: np.ndarray, toxic_share: float | None = None, rou
                 m[k] = 0.9 * m[k] + 0.1 * gk
                 v[k] = 0.99 * v[k] + 0.01 * gk * gk
                 p[k] -= 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
-    # Platt scaling on the training documents' highest windows, weighted to the labels' true shares
-    p["platt"] = np.array([1.0, 0.0], np.float32)
-    s = np.maximum.reduceat(scores(), begin).astype(np.float64)
-    share = y.mean() if toxic_share is None else toxic_share
-    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    a, c = 1.0, 0.0
-    for _ in range(300):
-        e = weight * (1 / (1 + np.exp(-np.clip(a * s + c, -30, 30))) - y)
-        a, c = a - 0.05 * ((e * s).mean() + 0.01 * (a - 1)), c - 0.2 * e.mean()
-    p["platt"][:] = (max(a, 0.05), c)
+    calibrate(p, held[0], held[1], y.mean() if toxic_share is None else toxic_share)
     return p
 
 
+def calibrate(p: dict, texts: list[bytes], y: np.ndarray, share: float) -> None:
+    """Platt scaling on the best windows of documents, weighted to the labels' true shares."""
+    import pyarrow as pa
+
+    x = np.concatenate([score_texts(p, buf, off) for _, buf, off in slices(pa.array(texts, pa.large_binary()).view(pa.large_string()))])
+    mean, dev = x.mean(0), x.std(0) + 1e-9
+    x = np.hstack([(x - mean) / dev, np.ones((len(x), 1))])
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    w = np.zeros(3)
+    for _ in range(2000):
+        w -= 0.5 * (x.T @ (weight * (1 / (1 + np.exp(-x @ w)) - y)) / len(y) + 1e-4 * w)
+    p["platt"] = np.append(w[:2] / dev, w[2] - (w[:2] * mean / dev).sum())
+
+
 # ---------------------------------------------------------------- Spark
 
 
@@ -323,12 +348,10 @@ def scored(docs: DataFrame, model: dict[str, np.ndarray], keep: tuple[str, ...]
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        p = {k: v.astype(np.float32) for k, v in slim.items()}
-        a, c = p.pop("platt", np.array([1.0, 0.0]))
+        p = {k: v if k == "platt" else v.astype(np.float32) for k, v in slim.items()}
         for b in batches:
             if b.num_rows:
-                s = np.concatenate([score_texts(p, buf, off) for _, buf, off in slices(b.column(n))]).astype(np.float64)
-                s = 1 / (1 + np.exp(-np.clip(a * s + c, -30, 30)))
+                s = chance(p, np.concatenate([score_texts(p, buf, off) for _, buf, off in slices(b.column(n))]))
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(s)], [*b.schema.names[:n], "score"])
 
     return map_arrow(docs.select(*keep, F.col("text").alias("text__")), run, with_fields(docs, keep, "score double"))
