@@ -74,7 +74,9 @@ def semantic_search(symbols: DataFrame, embeddings: DataFrame, query_vector: lis
 def lines(contents: DataFrame, redacted: bool = True) -> DataFrame:
     """(repo, file, ord, line, text) of file contents (repo, file, content STRING, ord), secrets replaced before splitting."""
     body = text.redact("content", limit=None) if redacted else F.col("content")
-    return contents.select("repo", "file", "ord", F.posexplode(F.split(body, "\n")).alias("pos", "text")).select("repo", "file", "ord", (F.col("pos") + 1).alias("line"), "text")
+    # outer, as an inner generator would make its array twice, once to filter empty ones
+    rows = contents.select("repo", "file", "ord", F.posexplode_outer(F.split(body, "\n")).alias("pos", "text")).where("text is not null")
+    return rows.select("repo", "file", "ord", (F.col("pos") + 1).alias("line"), "text")
 
 
 def text_search(line_rows: DataFrame, query: str, repos: list[str] | None = None, glob: str | None = None, k: int = 20) -> DataFrame:
