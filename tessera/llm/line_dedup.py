@@ -5,10 +5,12 @@
    bin. ROWS bins make a band; a band's values are a bucket key.
 2. A line is paired with the smallest and the largest line of each of its buckets, so the pairs are linear in the lines
    whatever a bucket holds. Two-bit sketches of the bins drop chance pairs; the rest form clusters.
-3. The pairs are verified by exact Jaccard similarity of their whole shingle sets (shingles at every position). Lines of
-   a cluster that these links leave apart are then compared exhaustively: clusters are cut into blocks, every two blocks
+3. The pairs are verified by exact Jaccard similarity of their whole shingle sets (shingles at every position). Any two
+   other lines of a bucket that these links leave apart are then paired too, if their sketches allow it, and verified
+   the same way: buckets are cut into blocks, and every two blocks meet once in a join.
+4. Lines of a cluster that are still apart are compared exhaustively: clusters are cut into blocks, every two blocks
    meet once, and lines of different parts are compared inside one row. Only links come out.
-4. Distributed union-find over the links; of each component the first line (by doc_id, then position) stays.
+5. Distributed union-find over the links; of each component the first line (by doc_id, then position) stays.
 
 Texts are read again for each step instead of being shuffled or stored; what joins them is broadcast if a count shows
 at most ROWS_SENT rows and shuffled otherwise.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import components, cut, free_name, settle, small, table
 
-SHINGLE, BANDS, ROWS, BLOCK = 8, 8, 3, 48
+SHINGLE, BANDS, ROWS, BLOCK, BUCKET_BLOCK = 8, 8, 3, 48, 256
 BINS = BANDS * ROWS
 ROWS_SENT = 400_000
 
@@ -108,6 +110,23 @@ def _pairs(sig: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").where(_alike(percent)).select("a", "b")
 
 
+def _apart(sig: DataFrame, part: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that are not among `pairs`: any two lines of one bucket that are of different parts (lid, part; a line
+    without one is its own) and that the sketches allow."""
+    lines = sig.join(part, "lid", "left").withColumn("part", F.coalesce("part", "lid"))
+    spread = lines.select("lid", "part", F.explode_outer("keys").alias("key"))
+    # of two lines the one pair has been tested
+    open_ = spread.groupBy("key").agg(F.count("*").alias("c"), F.min("part").alias("p0"), F.max("part").alias("p1")).where("c > 2 and p0 < p1 and key is not null")
+    open_ = small(open_.select("key", F.ceil(F.col("c") / BUCKET_BLOCK).cast("int").alias("blocks")), ROWS_SENT)
+    kept = lines.select("lid", "part", "occ", "s0", "s1", F.explode_outer("keys").alias("key")).join(open_, "key")
+    kept = cut(kept.withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int")))
+    mine = kept.select("key", F.col("block").alias("lo"), F.explode_outer(F.sequence("block", F.col("blocks") - 1)).alias("hi"), F.col("lid").alias("a"), "part", "occ", "s0", "s1")
+    theirs = kept.select("key", F.explode_outer(F.sequence(F.lit(0), "block")).alias("lo"), F.col("block").alias("hi"), F.col("lid").alias("b"), *[F.col(c).alias(f"{c}_") for c in ("part", "occ", "s0", "s1")])
+    met = mine.join(theirs, ["key", "lo", "hi"]).where((F.col("part") != F.col("part_")) & ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b"))) & _alike(percent))
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+
+
 def _set(norm: Column) -> Column:
     """Distinct shingle hashes of a line."""
     return _bind(_units(norm), lambda u: F.array_distinct(F.transform(F.sequence(F.lit(0), _last(u)), lambda i: _shingle(u, i))))
@@ -135,6 +154,14 @@ def _links(a: Column, b: Column, same: Column, percent: int) -> Column:
     return _bind(F.struct(sets(a).alias("a"), sets(b).alias("b")), pairs)
 
 
+def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose lines (lid, norm) are alike."""
+    side = lambda c: lines.select(F.col("lid").alias(c), F.col("norm").alias(f"norm_{c}"))
+    tested = pairs.join(side("a"), "a").join(side("b"), "b").repartition("a", "b")
+    sets = F.struct(_set(F.col("norm_a")).alias("a"), _set(F.col("norm_b")).alias("b"))
+    return cut(tested.where(_bind(sets, lambda z: _near(z["a"], z["b"], percent))).select("a", "b"))
+
+
 def line_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(node, comp) of the distinct lines (ids) that have a near line: exact Jaccard of character shingles >= percent/100."""
     spark = docs.sparkSession
@@ -142,15 +169,20 @@ def line_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     settle(spark)
     pairs = cut(_pairs(sig, percent))
     cluster = components(pairs)
-    del sig
     settle(spark)
     lines = _lines(docs).select("lid", "norm").join(small(cluster.withColumnRenamed("node", "lid"), ROWS_SENT), "lid")
     lines = cut(lines.groupBy("lid").agg(F.first("comp").alias("comp"), F.first("norm").alias("norm")))
     settle(spark)
-    side = lambda c: lines.select(F.col("lid").alias(c), F.col("norm").alias(f"norm_{c}"))
-    tested = pairs.join(side("a"), "a").join(side("b"), "b").repartition("a", "b")
-    sets = F.struct(_set(F.col("norm_a")).alias("a"), _set(F.col("norm_b")).alias("b"))
-    sure = cut(tested.where(_bind(sets, lambda z: _near(z["a"], z["b"], percent))).select("a", "b"))
+    sure = _verified(pairs, lines, percent)
+    part = components(sure).select(F.col("node").alias("lid"), F.col("comp").alias("part"))
+    apart = cut(_apart(sig, part, pairs, percent))
+    del sig
+    settle(spark)
+    ends = apart.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
+    texts = cut(_lines(docs).select("lid", "norm").join(small(ends, ROWS_SENT), "lid").groupBy("lid").agg(F.first("norm").alias("norm")))
+    sure = sure.union(_verified(apart, texts, percent))
+    del apart, texts
+    settle(spark)
     part = components(sure).select(F.col("node").alias("lid"), F.col("comp").alias("part"))
     # what is left: clusters of three lines or more in several parts (of two lines the one pair has been tested)
     lines = lines.join(part, "lid", "left").withColumn("part", F.coalesce("part", "lid"))

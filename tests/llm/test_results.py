@@ -93,6 +93,29 @@ def test_line_dedup_equals_brute_force(spark):
     assert {x["doc_id"]: x["lines"]["text"] for x in got.collect()} == want
 
 
+def test_line_dedup_finds_near_lines_among_strangers(spark):
+    """Short lines of common words: the smallest and largest lines of their buckets are other, unlike lines."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(150)]
+    common = [1 / (i + 1) for i in range(150)]
+    lines = [" ".join(r.choices(words, common, k=r.randint(7, 12))) for _ in range(3000)]
+    grams = lambda x: {x[i : i + 8] for i in range(max(1, len(x) - 7))}
+    near = []
+    while len(near) < 300:
+        x = r.choice(lines)
+        i = r.randrange(len(x))
+        y = x[:i] + r.choice("klmnop") + x[i + 1 :]
+        if x[i] != " " and 100 * len(grams(x) & grams(y)) >= 80 * len(grams(x) | grams(y)):
+            near.append((x, y))
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines + [y for _, y in near])], "doc_id long, text string").repartition(4)
+    ids = {x["norm"]: x["lid"] for x in docs.select(F.col("text").alias("norm"), F.xxhash64("text").alias("lid")).collect()}
+    keys = {x["lid"]: set(x["keys"]) for x in line_dedup.signatures(docs).collect()}
+    comp = {x["node"]: x["comp"] for x in line_dedup.line_components(docs).collect()}
+    meet = [(x, y) for x, y in near if keys[ids[x]] & keys[ids[y]]]
+    assert len(meet) >= 285
+    assert [(x, y) for x, y in meet if comp.get(ids[x], 0) != comp.get(ids[y], 1)] == []
+
+
 def test_top_k_equals_brute_force():
     rng = np.random.default_rng(4)
     x = rng.integers(-60, 60, (3000, 16))
