@@ -232,6 +232,13 @@ def test_decontamination(spark):
     assert set(got) == {1, 2} and got[1]["changed"] == 0 and got[2]["changed"] >= 2
 
 
+def test_decontamination_of_slot_dense_items(spark):
+    items = [(1, "Anna Bell and Carl Dent ran 5 km in 30 minutes"), (2, "Compute 12 + 7 - 3 and 45 / 9"), (3, "Anna Bell 12 km")]
+    docs = [(10 + i, f"some words before. {x}, and some words after") for i, x in items] + [(20, "Otto Rank and Paul Senn ran 8 km in 20 hours"), (21, "Compute 13 + 8 - 4 and 46 / 8")]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"], x["coverage"], x["changed"]) for x in got} == {(11, 1, 1.0, 0), (12, 2, 1.0, 0), (13, 3, 1.0, 0)}
+
+
 def test_license_scan(spark):
     mit = license_scan.TEXTS[0][3]
     rows = [(1, "MIT LICENSE\n\nCopyright (c) 2020 A. Person\n\n" + mit.upper()), (2, "text\nReleased under the MIT Licence.\nmore"), (3, "MIT stands here"), (4, "Copyright 2020 me"), (5, None)]
