@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import os
 import tempfile
 import uuid
@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a counted side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 20_000
+#: Bytes up to which it is, whatever its rows.
+BROADCAST_BYTES = 64 << 20
 #: Bytes of text that one vectorised step takes at a time (a longer text is taken alone).
 SLICE_BYTES = 1 << 20
 
@@ -90,31 +92,39 @@ def group_arrow(df: DataFrame, keys: list[str], f, schema) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """The session's spark.checkpoint.dir; where that is unset, a folder of the warehouse, which executors share too."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/.checkpoints")
     return spark.sparkContext.getCheckpointDir()
 
 
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """Plans made inside delete their shuffle files as soon as their action has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and go on from there, so lost executors cost no recomputation.
 
-    Spark removes the files once nothing refers to them (cleanCheckpoints).
+    The shuffle files behind it go at once; Spark removes the checkpoint once nothing refers to it (cleanCheckpoints).
     """
     _shared(df.sparkSession)
-    return df.checkpoint()
-
+    with _shuffles_removed(df.sparkSession):
+        return df.select("*").checkpoint()  # a plan of its own: df itself stays usable
 
-def settle(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more, instead of at its next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
-
-def written(df: DataFrame) -> tuple[DataFrame, str]:
+def written(df: DataFrame, **options) -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder, and its path; remove() deletes it."""
     path = f"{_shared(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_removed(df.sparkSession):
+        df.select("*").write.parquet(path, **options)
     return df.sparkSession.read.parquet(path), path
 
 
@@ -123,9 +133,33 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _width(name: str, kind: T.DataType) -> Column:
+    """Bytes of a column's value, as it is sent."""
+    if isinstance(kind, T.StructType):
+        out = F.lit(8)
+        for f in kind.fields:
+            out = out + _width(f"{name}.`{f.name}`", f.dataType)
+        return out
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 8
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        each = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType
+        if isinstance(each, (T.StringType, T.BinaryType)) and isinstance(kind, T.ArrayType):
+            return F.aggregate(F.coalesce(name, F.array().cast(kind)), F.lit(16).cast("long"), lambda n, x: n + 16 + F.coalesce(F.octet_length(x), F.lit(0)))
+        return F.coalesce(F.size(name), F.lit(0)) * 64 + 16
+    return F.lit(8)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows at most `limit` rows, else df as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """df with a broadcast hint if it is measured to have at most `limit` rows and BROADCAST_BYTES, else df as it is.
+
+    The measure runs df's plan: cut df first unless it is cheap.
+    """
+    size = F.lit(8).cast("long")
+    for f in df.schema.fields:
+        size = size + _width(f"`{f.name}`", f.dataType)
+    rows, total = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and total <= BROADCAST_BYTES else df
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -161,6 +195,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 

@@ -1,19 +1,21 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-1. Distinct lines (trimmed, lower-cased) get a one-permutation MinHash: each character shingle that starts a word is
-   hashed once (in lines with few blanks, each shingle), the hash picks a bin, and a line keeps the least value of each
-   bin. ROWS bins make a band; a band's values are a bucket key.
-2. A line is paired with the smallest and the largest line of each of its buckets, so the pairs are linear in the lines
-   whatever a bucket holds. Two-bit sketches of the bins drop chance pairs; the rest form clusters.
-3. The pairs are verified by exact Jaccard similarity of their whole shingle sets (shingles at every position). Any two
-   other lines of a bucket that these links leave apart are then paired too, if their sketches allow it, and verified
-   the same way: buckets are cut into blocks, and every two blocks meet once in a join.
-4. Lines of a cluster that are still apart are compared exhaustively: clusters are cut into blocks, every two blocks
-   meet once, and lines of different parts are compared inside one row. Only links come out.
-5. Distributed union-find over the links; of each component the first line (by doc_id, then position) stays.
-
-Texts are read again for each step instead of being shuffled or stored; what joins them is broadcast if a count shows
-at most ROWS_SENT rows and shuffled otherwise.
+1. Every line (trimmed, lower-cased) gets a bottom-k signature: the least KEPT hashes of its character shingles. Lines
+   of many words take the shingles that start a word, short ones (and lines with few blanks) all; lines in between are
+   signed both ways, so two near lines always have a kind of signature in common.
+2. Bands are runs of three neighbouring hashes of the sorted signature. Two sets share a band wherever three neighbours
+   of their union's order belong to both, so bands need no fixed bins and are never empty. Long signatures keep a
+   fourth of the runs, chosen by content, middle ones half; of up to RING hashes all runs are kept, the order taken as a
+   ring, where sets of similarity 0.8 share one by counting.
+3. A band that several lines share is a bucket. Each of its lines is paired with the least one; the pairs are verified
+   by exact Jaccard similarity of the whole shingle sets (shingles at every position) and joined by union-find.
+4. Lines of one bucket that are still in different parts are paired with each other and verified too. In a bucket of
+   more than LARGE lines only lines that share one of their first floor(0.2 n) + 1 shingles, rarest first, are paired;
+   two sets of n shingles or more that share none of these can't be alike, so no pair is lost.
+5. Distributed union-find over all links; of each component the first line (by doc_id, then position) stays.
+
+Lines are written to the shared folder once, with their bands, and each step reads the columns that it needs. What
+joins them is broadcast if a count shows at most ROWS_SENT rows, and shuffled otherwise.
 """
 
 from __future__ import annotations
@@ -21,30 +23,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, cut, free_name, settle, small, table
+from tessera.llm.common import components, cut, free_name, remove, small, table, written
 
-SHINGLE, BANDS, ROWS, BLOCK, BUCKET_BLOCK = 8, 8, 3, 48, 256
-BINS = BANDS * ROWS
-ROWS_SENT = 400_000
+SHINGLE, KEPT, RING, LARGE = 8, 48, 24, 64
+#: Lines with at least STARTS shingles at word starts are signed by these, lines with fewer than EVERY by all shingles.
+STARTS, EVERY = 14, 24
+ROWS_SENT = 1_000_000
+WHITE = " \t\r\n\x0b\x0c"
 
 
 def normal(line: str | Column) -> Column:
     """What lines are compared by."""
-    return F.lower(F.btrim(line, F.lit(" \t\r\n\x0b\x0c")))
-
-
-def _units(norm: Column) -> Column:
-    """The line as two bytes per UTF-16 unit, so that a shingle is a constant-time slice."""
-    return F.encode(norm, "UTF-16BE")
-
-
-def _shingle(units: Column, i: Column) -> Column:
-    return F.xxhash64(F.substring(units, i * 2 + 1, F.lit(2 * SHINGLE)))
-
-
-def _last(units: Column) -> Column:
-    """Index of the last shingle: a line shorter than a shingle has one, itself."""
-    return F.greatest((F.length(units) / 2).cast("int") - SHINGLE, F.lit(0))
+    line = F.col(line) if isinstance(line, str) else line
+    edge = F.lit(False)
+    for w in WHITE:  # trimming by a set of characters walks over the whole line; few lines need it
+        edge = edge | F.startswith(line, F.lit(w)) | F.endswith(line, F.lit(w))
+    return F.lower(F.when(edge, F.btrim(line, F.lit(WHITE))).otherwise(line))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -58,78 +52,41 @@ def _bind(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """One row per distinct line: lid, keys (bucket keys, of bands with a value), occ (bins with a value), s0, s1 (low bits)."""
-    starts = F.regexp_extract_all("norm", F.lit(rf"(?s)(?:^|(?<=[ \t]))(?=(.{{1,{SHINGLE}}}))"), F.lit(1))
-    every = F.regexp_extract_all("norm", F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    blanks = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit("")))
-    # outer, as an inner explode would evaluate its array again to filter empty ones
-    each = _lines(docs).select("lid", F.explode_outer(F.when(24 * (blanks + 1) < F.length("norm"), every).otherwise(starts)).alias("s"))
-    hashed = each.select("lid", F.xxhash64("s").alias("h"))
-    hashed = hashed.select("lid", F.pmod(F.shiftright("h", 32), F.lit(BINS)).cast("int").alias("bin"), F.col("h").bitwiseAND(0x7FFFFFFF).cast("int").alias("v"))
-    sig = hashed.groupBy("lid").agg(*[F.min(F.when(F.col("bin") == j, F.col("v"))).alias(f"m{j}") for j in range(BINS)])
+def _hashed(shingles: Column) -> Column:
+    return F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s)))
 
-    def key(b: int) -> Column:
-        mine = [F.col(f"m{b * ROWS + r}") for r in range(ROWS)]
-        return F.when(F.coalesce(*mine).isNotNull(), F.xxhash64(F.lit(b), *[F.coalesce(m, F.lit(-1)) for m in mine]))
 
-    def bits(bit) -> Column:
-        out = F.lit(0).cast("long")
-        for j in range(BINS):
-            out = out.bitwiseOR(F.shiftleft(F.coalesce(bit(F.col(f"m{j}")), F.lit(0)).cast("long"), j))
-        return out
+def _set(norm: Column) -> Column:
+    """Distinct shingle hashes of a line; one shorter than a shingle is its own only shingle."""
+    every = F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    return _hashed(F.when(F.length(norm) < SHINGLE, F.array(norm)).otherwise(every))
 
-    return sig.select("lid", F.filter(F.array(*[key(b) for b in range(BANDS)]), lambda k: k.isNotNull()).alias("keys"), bits(lambda m: m.isNotNull().cast("int")).alias("occ"), bits(lambda m: m.bitwiseAND(1)).alias("s0"), bits(lambda m: F.shiftright(m, 1).bitwiseAND(1)).alias("s1"))
 
+def _bands(hashes: Column) -> Column:
+    """Keys of the runs of three of a set's least hashes."""
 
-def _bind(value: Column, f) -> Column:
-    """f(value), with the value computed once (as the only element of an array) however often f uses it."""
-    return F.element_at(F.transform(F.array(value), f), 1)
+    def of(h: Column) -> Column:
+        n, w = F.size(h), F.slice(h, 1, KEPT)
+        thin = F.when(n <= KEPT, 1).otherwise(3).cast("long")
 
+        def run(x: Column, i: Column) -> Column:
+            at = lambda j: F.get(w, j)
+            ring = F.when(n <= RING, F.xxhash64(x, at((i + 1) % n), at((i + 2) % n)))
+            return ring.otherwise(F.when((x.bitwiseAND(thin) == 0) & (i + 2 < F.size(w)), F.xxhash64(x, at(i + 1), at(i + 2))))
 
-def _alike(percent: int) -> Column:
-    """Whether the sketches of a pair (occ, s0, s1 and occ_, s0_, s1_) allow the similarity: values agree in both bits with
-    probability J + (1 - J) / 4; fewer than four standard deviations below that are out."""
-    diff = F.col("s0").bitwiseXOR(F.col("s0_")).bitwiseOR(F.col("s1").bitwiseXOR(F.col("s1_")))
-    agree = F.bit_count(F.col("occ").bitwiseAND(F.col("occ_")).bitwiseAND(F.bitwise_not(diff)))
-    n = F.bit_count(F.col("occ").bitwiseOR(F.col("occ_")))
-    p = percent / 100 + (1 - percent / 100) / 4
-    return agree >= F.floor(n * p - 4 * F.sqrt(n * p * (1 - p)))
-
-
-def _pairs(sig: DataFrame, percent: int) -> DataFrame:
-    spread = sig.select("lid", F.explode_outer("keys").alias("key"))
-    ends = cut(spread.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi"), F.count("*").alias("c")).where("c > 1 and key is not null"))
-    settle(sig.sparkSession)
-    two = ends.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    many = small(ends.where("c > 2").select("key", "lo", "hi"), ROWS_SENT)
-    more = spread.join(many, "key").where("lid <> lo and lid <> hi").select(F.col("lid").alias("a"), F.explode(F.array("lo", "hi")).alias("b"))
-    pairs = two.union(more).distinct()
-    one = sig.select(F.col("lid").alias("a"), "occ", "s0", "s1")
-    other = sig.select(F.col("lid").alias("b"), F.col("occ").alias("occ_"), F.col("s0").alias("s0_"), F.col("s1").alias("s1_"))
-    return pairs.join(one, "a").join(other, "b").where(_alike(percent)).select("a", "b")
-
-
-def _apart(sig: DataFrame, part: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that are not among `pairs`: any two lines of one bucket that are of different parts (lid, part; a line
-    without one is its own) and that the sketches allow."""
-    lines = sig.join(part, "lid", "left").withColumn("part", F.coalesce("part", "lid"))
-    spread = lines.select("lid", "part", F.explode_outer("keys").alias("key"))
-    # of two lines the one pair has been tested
-    open_ = spread.groupBy("key").agg(F.count("*").alias("c"), F.min("part").alias("p0"), F.max("part").alias("p1")).where("c > 2 and p0 < p1 and key is not null")
-    open_ = small(open_.select("key", F.ceil(F.col("c") / BUCKET_BLOCK).cast("int").alias("blocks")), ROWS_SENT)
-    kept = lines.select("lid", "part", "occ", "s0", "s1", F.explode_outer("keys").alias("key")).join(open_, "key")
-    kept = cut(kept.withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int")))
-    mine = kept.select("key", F.col("block").alias("lo"), F.explode_outer(F.sequence("block", F.col("blocks") - 1)).alias("hi"), F.col("lid").alias("a"), "part", "occ", "s0", "s1")
-    theirs = kept.select("key", F.explode_outer(F.sequence(F.lit(0), "block")).alias("lo"), F.col("block").alias("hi"), F.col("lid").alias("b"), *[F.col(c).alias(f"{c}_") for c in ("part", "occ", "s0", "s1")])
-    met = mine.join(theirs, ["key", "lo", "hi"]).where((F.col("part") != F.col("part_")) & ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b"))) & _alike(percent))
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return met.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        return F.filter(F.transform(w, run), lambda k: k.isNotNull())
 
+    return _bind(F.sort_array(hashes), of)
 
-def _set(norm: Column) -> Column:
-    """Distinct shingle hashes of a line."""
-    return _bind(_units(norm), lambda u: F.array_distinct(F.transform(F.sequence(F.lit(0), _last(u)), lambda i: _shingle(u, i))))
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """The lines of docs: doc, ord, pos, lid, norm and keys, the line's bands."""
+    starts = _hashed(F.regexp_extract_all("norm", F.lit(rf"(?s)(?=(.{{1,{SHINGLE}}}))[^ \t]*[ \t]*"), F.lit(1)))
+    out = _lines(docs).withColumn("starts", starts)
+    few, many = F.size("starts") < EVERY, F.size("starts") >= STARTS
+    none = F.array().cast("array<long>")
+    keys = F.concat(F.when(many, _bands(F.col("starts"))).otherwise(none), F.when(few, _bands(_set(F.col("norm")))).otherwise(none))
+    return out.withColumn("keys", keys).drop("starts")
 
 
 def _near(x: Column, y: Column, percent: int) -> Column:
@@ -139,61 +96,51 @@ def _near(x: Column, y: Column, percent: int) -> Column:
     return F.when(100 * F.least(sx, sy) >= percent * F.greatest(sx, sy), 100 * both >= percent * (sx + sy - both)).otherwise(False)
 
 
-def _links(a: Column, b: Column, same: Column, percent: int) -> Column:
-    """Links between the lines (lid, part, norm) of two blocks that are of different parts; each line's set is made once."""
-
-    def sets(block: Column) -> Column:
-        return F.transform(block, lambda line: F.struct(line["lid"].alias("lid"), line["part"].alias("part"), _set(line["norm"]).alias("set")))
-
-    def test(x: Column, y: Column) -> Column:
-        return F.when(((x["lid"] < y["lid"]) | ~same) & (x["part"] != y["part"]), _near(x["set"], y["set"], percent)).otherwise(False)
-
-    def pairs(z: Column) -> Column:
-        return F.flatten(F.transform(z["a"], lambda x: F.transform(F.filter(z["b"], lambda y: test(x, y)), lambda y: F.struct(x["lid"].alias("a"), y["lid"].alias("b")))))
-
-    return _bind(F.struct(sets(a).alias("a"), sets(b).alias("b")), pairs)
-
-
-def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose lines (lid, norm) are alike."""
-    side = lambda c: lines.select(F.col("lid").alias(c), F.col("norm").alias(f"norm_{c}"))
-    tested = pairs.join(side("a"), "a").join(side("b"), "b").repartition("a", "b")
+    side = lambda c: texts.select(F.col("lid").alias(c), F.col("norm").alias(f"norm_{c}"))
+    tested = pairs.join(side("b"), "b").join(side("a"), "a").repartition("a", "b")
     sets = F.struct(_set(F.col("norm_a")).alias("a"), _set(F.col("norm_b")).alias("b"))
     return cut(tested.where(_bind(sets, lambda z: _near(z["a"], z["b"], percent))).select("a", "b"))
 
 
-def line_components(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(node, comp) of the distinct lines (ids) that have a near line: exact Jaccard of character shingles >= percent/100."""
-    spark = docs.sparkSession
-    sig = cut(signatures(docs))
-    settle(spark)
-    pairs = cut(_pairs(sig, percent))
-    cluster = components(pairs)
-    settle(spark)
-    lines = _lines(docs).select("lid", "norm").join(small(cluster.withColumnRenamed("node", "lid"), ROWS_SENT), "lid")
-    lines = cut(lines.groupBy("lid").agg(F.first("comp").alias("comp"), F.first("norm").alias("norm")))
-    settle(spark)
-    sure = _verified(pairs, lines, percent)
-    part = components(sure).select(F.col("node").alias("lid"), F.col("comp").alias("part"))
-    apart = cut(_apart(sig, part, pairs, percent))
-    del sig
-    settle(spark)
-    ends = apart.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    texts = cut(_lines(docs).select("lid", "norm").join(small(ends, ROWS_SENT), "lid").groupBy("lid").agg(F.first("norm").alias("norm")))
-    sure = sure.union(_verified(apart, texts, percent))
-    del apart, texts
-    settle(spark)
+def _apart(members: DataFrame, part: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of lines of one bucket (key, lid) that are of different parts (lid, part; a line without one is
+    its own), without those that can't be alike."""
+    of = members.join(part, "lid", "left").withColumn("part", F.coalesce("part", "lid"))
+    buckets = of.groupBy("key").agg(F.count("*").alias("c"), F.min("part").alias("p0"), F.max("part").alias("p1"))
+    # of two lines the one pair has been tested
+    buckets = cut(buckets.where("c > 2 and p0 < p1").select("key", (F.col("c") > LARGE).alias("large")))
+    of = cut(of.join(small(buckets, ROWS_SENT), "key").select("key", "large", "lid", "part"))
+
+    def meet(df: DataFrame, key: str) -> DataFrame:
+        one, other = df.select(key, F.col("lid").alias("a"), "part"), df.select(key, F.col("lid").alias("b"), F.col("part").alias("part_"))
+        return one.join(other, key).where("a < b and part <> part_").select("a", "b")
+
+    lines = texts.join(of.where("large").select("lid", "part").distinct(), "lid")
+    sets = lines.select("lid", "part", _set(F.col("norm")).alias("set"))
+    each = sets.select("lid", "part", F.size("set").alias("n"), F.explode("set").alias("s"))
+    shared = each.groupBy("s").agg(F.count("*").alias("df"))
+    ranked = each.join(shared, "s").groupBy("lid", "part", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("by"))
+    first = F.slice("by", 1, (F.floor((100 - percent) * F.col("n") / 100) + 1).cast("int"))
+    rare = ranked.select("lid", "part", F.explode(F.filter(first, lambda z: z["df"] > 1)).alias("z")).select("lid", "part", F.col("z.s").alias("s"))
+    return cut(meet(of.where("not large"), "key").union(meet(rare, "s")).distinct())
+
+
+def line_components(docs: DataFrame, percent: int = 80, lines: DataFrame | None = None) -> DataFrame:
+    """(node, comp) of the distinct lines (ids) of docs that have a near line: exact Jaccard of character shingles >=
+    percent/100. lines: signatures(docs), where they are at hand."""
+    lines = cut(signatures(docs)) if lines is None else lines
+    spread = lines.select("lid", F.explode("keys").alias("key"))
+    lead = cut(spread.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).where("lo < hi").select("key", "lo"))
+    members = cut(spread.join(small(lead, ROWS_SENT), "key").distinct())
+    pairs = cut(members.where("lid <> lo").select(F.col("lo").alias("a"), F.col("lid").alias("b")).distinct())
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct())
+    texts = cut(lines.select("lid", "norm").join(small(ids, ROWS_SENT), "lid").groupBy("lid").agg(F.first("norm").alias("norm")))
+    sure = _verified(pairs, texts, percent)
     part = components(sure).select(F.col("node").alias("lid"), F.col("comp").alias("part"))
-    # what is left: clusters of three lines or more in several parts (of two lines the one pair has been tested)
-    lines = lines.join(part, "lid", "left").withColumn("part", F.coalesce("part", "lid"))
-    size = lines.groupBy("comp").agg(F.count("*").alias("n"), F.count_distinct("part").alias("parts")).where("n > 2 and parts > 1")
-    lines = lines.join(size.select("comp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "comp").withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int"))
-    packed = cut(lines.groupBy("comp", "blocks", "block").agg(F.collect_list(F.struct("lid", "part", "norm")).alias("lines")))
-    meet = packed.select("comp", F.col("block").alias("lo"), F.col("lines").alias("a"), F.explode_outer(F.sequence("block", F.col("blocks") - 1)).alias("hi"))
-    alone = meet.where("lo = hi").select("comp", "lo", "hi", "a", F.col("a").alias("b"))
-    meet = meet.where("lo < hi").join(packed.select("comp", F.col("block").alias("hi"), F.col("lines").alias("b")), ["comp", "hi"]).select("comp", "lo", "hi", "a", "b")
-    more = alone.union(meet).repartition("comp", "lo", "hi").select(F.explode_outer(_links(F.col("a"), F.col("b"), F.col("lo") == F.col("hi"), percent)).alias("e"))
-    return components(sure.union(more.where("e is not null").select("e.a", "e.b")))
+    apart = _apart(members.select("key", "lid"), part, texts, percent)
+    return components(sure.union(_verified(apart.join(pairs, ["a", "b"], "left_anti"), texts, percent)))
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -206,21 +153,24 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     the same result. Lines and texts of any length are compared whole. All columns stay as they are; the struct's name
     gets underscores on a clash. Empty table: no rows. Lines are told apart by 64-bit hashes.
     """
-    comp = small(line_components(docs, percent).withColumnRenamed("node", "lid"), ROWS_SENT)
-    occ = _lines(docs).select("doc", "ord", "pos", "lid").join(comp, "lid", "left").select("doc", "ord", "pos", F.coalesce("comp", "lid").alias("comp"))
-    occ = cut(occ)
-    # an occurrence as one comparable value, so that the first is a plain minimum
-    first = occ.groupBy("comp").agg(F.min(F.struct("ord", "doc", "pos")).alias("first"), F.count("*").alias("c")).where("c > 1").select("comp", "first")
-    drop = occ.join(first, "comp").where(~((F.col("doc") == F.col("first.doc")) & (F.col("pos") == F.col("first.pos"))))
+    lines, path = written(signatures(docs), compression="zstd")
+    comp = cut(line_components(docs, percent, lines).withColumnRenamed("node", "lid"))
+    occ = lines.select("doc", "ord", "pos", "lid").join(small(comp, ROWS_SENT), "lid", "left").select("doc", "ord", "pos", F.coalesce("comp", "lid").alias("comp"))
+    # lines that occur once are done with; of the others the first occurrence stays
+    many = cut(occ.groupBy("comp").agg(F.count("*").alias("c"), F.min("ord").alias("first")).where("c > 1").select("comp", "first"))
+    occ = cut(occ.join(small(many, ROWS_SENT), "comp"))
+    first = occ.where("ord = first").groupBy("comp").agg(F.min(F.struct("doc", "pos")).alias("at"))
+    drop = occ.join(first, "comp").where(~((F.col("ord") == F.col("first")) & (F.col("doc") == F.col("at.doc")) & (F.col("pos") == F.col("at.pos"))))
     drop = cut(drop.groupBy("doc").agg(F.collect_set("pos").alias("gone")))
-    settle(docs.sparkSession)
+    remove(docs.sparkSession, path)
     light = drop.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0] <= 10 * ROWS_SENT
     r = free_name(docs, "row")
     row = docs.select(F.struct("*").alias(r), F.when(F.col("text") != "", F.xxhash64("doc_id", "text")).alias("doc")).join(small(drop, ROWS_SENT) if light else drop, "doc", "left")
-    parts = F.split(f"{r}.text", "\n")
-    n = F.when(F.col(f"{r}.text").isNull(), 0).otherwise(F.size(parts))
+    whole = F.col(f"{r}.text")
+    parts = F.split(whole, "\n")
+    n = F.coalesce(F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone")
-    text = F.when(F.col("gone").isNull(), F.col(f"{r}.text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
+    text = F.when(F.col("gone").isNull(), whole).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
     made = F.struct(text.alias("text"), n.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
     # the result before the star: an expanded column would take the place of one of the same name here
     name = free_name(docs, "lines")
