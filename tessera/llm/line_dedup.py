@@ -1,225 +1,150 @@
-"""Fuzzy line deduplication by MinHash.
+"""Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-1. Every line (trimmed, lower-cased) gets a bottom-k signature: the least KEPT hashes of all its character shingles.
+1. Every line (trimmed, lower-cased) gets a bottom-k signature: the least KEPT hashes of its character shingles. Lines
+   of many words take the shingles that start a word, short ones (and lines with few blanks) all; lines in between are
+   signed both ways, so two near lines always have a kind of signature in common.
 2. Bands are runs of three neighbouring hashes of the sorted signature. Two sets share a band wherever three neighbours
    of their union's order belong to both, so bands need no fixed bins and are never empty. Long signatures keep a
    fourth of the runs, chosen by content, middle ones half; of up to RING hashes all runs are kept, the order taken as a
    ring, where sets of similarity 0.8 share one by counting.
 3. A band that several lines share is a bucket. Each of its lines is paired with the least one; the pairs are verified
-   by exact Jaccard similarity of the whole shingle sets and joined by union-find.
-4. Lines of one bucket that are still in different parts are paired with each other and verified too. In a bucket of
-   more than LARGE lines only lines that share one of their first floor(0.2 n) + 1 shingles, rarest first, are paired;
-   two sets of n shingles or more that share none of these can't be alike, so no pair is lost.
+   by exact Jaccard similarity of the whole shingle sets (shingles at every position) and joined by union-find.
+4. Any two lines of a bucket that these links leave in different parts are verified too: lines that are connected by
+   buckets form a cluster, clusters of several parts are cut into blocks, every two blocks meet once in a row, and the
+   lines in it that share a bucket are compared there, each line's set being made once. A cluster of more than WHOLE
+   lines is not compared as one; its buckets are, one by one, and a pair counts in the least bucket that it shares.
 5. Distributed union-find over all links; of each component the first line (by doc_id, then position) stays.
 
 Lines are written to the shared folder once, with their bands, and each step reads the columns that it needs. What
-joins them is broadcast if a count shows at most ROWS_SENT rows, and shuffled otherwise. Signatures and verification run
-in numpy over Arrow batches; all else is DataFrame functions.
+joins them is broadcast if a count shows at most ROWS_SENT rows, and shuffled otherwise.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, cut, free_name, map_arrow, mix, remove, slices, small, table, written
+from tessera.llm.common import components, cut, free_name, remove, small, table, written
 
-SHINGLE, KEPT, RING, LARGE = 8, 48, 24, 64
+SHINGLE, KEPT, RING, BLOCK, WHOLE = 8, 48, 24, 256, 4096
+#: Lines with at least STARTS shingles at word starts are signed by these, lines with fewer than EVERY by all shingles.
+STARTS, EVERY = 14, 24
 ROWS_SENT = 1_000_000
-#: Base of the polynomial that a shingle is, before it is mixed.
-BASE = 0x9E3779B97F4A7C15
-#: Bits of a shingle's hash in a set (the rest number the lines of a slice), and lines of a slice.
-BITS, LINES = 50, 1 << 13
-
-_WHITE = np.zeros(256, bool)
-_WHITE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def _characters(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, value) of the characters of UTF-8 text; the value is the character's bytes as one number."""
-    if not len(buf) or buf.max() < 128:
-        return np.arange(len(buf)), buf.astype(np.uint64)
-    at = np.flatnonzero((buf & 0xC0) != 0x80)
-    size = np.diff(np.append(at, len(buf)))
-    value = buf[at].astype(np.uint64)
-    for k in range(1, 4):
-        more = np.flatnonzero(size > k)
-        value[more] = (value[more] << np.uint64(8)) | buf[at[more] + k]
-    return at, value
-
-
-def _sets(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, first) of at most LINES texts buf[start:end]: text i has the distinct shingle hashes keys[first[i]:first[i+1]],
-    ascending; the number of the text stands above BITS. A text shorter than a shingle is its own only shingle."""
-    at, value = _characters(buf)
-    lo, hi = np.searchsorted(at, start), np.searchsorted(at, end)
-    size, n = hi - lo, len(value)
-    poly = value
-    for width in (1, 2, 4):  # of a shingle's 1, 2, 4, 8 characters
-        poly = poly[: max(n - 2 * width + 1, 0)] * np.uint64(pow(BASE, width, 1 << 64)) + poly[width : max(n - width + 1, width)][: max(n - 2 * width + 1, 0)]
-    count = np.where(size >= SHINGLE, size - SHINGLE + 1, 0)
-    text = np.repeat(np.arange(len(lo)), count)
-    which = np.arange(count.sum()) + np.repeat(lo - np.cumsum(count) + count, count)
-    short = np.flatnonzero((size > 0) & (size < SHINGLE))
-    tail = size[short].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    for k in range(SHINGLE - 1):
-        has = np.flatnonzero(size[short] > k)
-        tail[has] = tail[has] * np.uint64(BASE) + value[lo[short[has]] + k]
-    keys = np.concatenate([mix(poly[which]) >> np.uint64(64 - BITS), mix(tail) >> np.uint64(64 - BITS)])
-    keys |= np.concatenate([text, short]).astype(np.uint64) << np.uint64(BITS)
-    keys.sort()
-    if len(keys):
-        keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
-    return keys, np.searchsorted(keys, np.arange(len(lo) + 1, dtype=np.uint64) << np.uint64(BITS))
-
-
-def _bands(keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bands, offsets): the keys of the runs of three of each set's least hashes."""
-    n = np.diff(first)
-    kept = np.minimum(n, KEPT)
-    text = np.repeat(np.arange(len(n)), kept)
-    rank = np.arange(kept.sum()) - np.repeat(np.cumsum(kept) - kept, kept)
-    size, base = n[text], first[text]
-    v = lambda i: keys[i] & np.uint64((1 << BITS) - 1)
-    ring = size <= RING
-    thin = np.where(size <= KEPT, 1, 3).astype(np.uint64)
-    own = v(base + rank)
-    take = np.flatnonzero(ring | (((own & thin) == 0) & (rank + 2 < kept[text])))
-    text, rank, size, base, ring = text[take], rank[take], size[take], base[take], ring[take]
-    step = lambda j: v(base + np.where(ring, (rank + j) % np.maximum(size, 1), rank + j))
-    band = mix(mix(mix(own[take]) + step(1)) + step(2))
-    return band.view(np.int64), np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(n))))).astype(np.int64)
-
-
-def _lines(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, pos, start, end) of the trimmed lines of the texts that are not blank."""
-    begin = np.concatenate([offsets[:-1], np.flatnonzero(buf == 10) + 1])
-    begin = begin[begin < offsets[-1]]
-    begin = np.unique(begin)  # an empty text begins where the next one does
-    stop = np.append(begin[1:], offsets[-1])
-    solid = np.flatnonzero(~_WHITE[buf])
-    i, j = np.searchsorted(solid, begin), np.searchsorted(solid, stop)
-    row = np.searchsorted(offsets, begin, "right") - 1
-    pos = np.arange(len(begin)) - np.searchsorted(row, np.arange(len(offsets)))[row]
-    full = np.flatnonzero(j > i)
-    return row[full], pos[full], solid[i[full]], solid[j[full] - 1] + 1
-
-
-def _strings(buf: np.ndarray, start: np.ndarray, end: np.ndarray):
-    """buf[start:end] as an Arrow string column."""
-    import pyarrow as pa
-
-    size = end - start
-    to = np.concatenate(([0], np.cumsum(size)))
-    data = buf[np.arange(to[-1]) + np.repeat(start - to[:-1], size)]
-    return pa.StringArray.from_buffers(len(size), pa.py_buffer(to.astype(np.int32)), pa.py_buffer(data))
-
-
-def _sign(batches) -> Iterator:
-    """(doc, ord, text) to (doc, ord, pos, norm, keys), a row per line that is not blank."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    for batch in batches:
-        doc, order = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        for at, buf, offsets in slices(pc.utf8_lower(batch.column(2))):
-            row, pos, start, end = _lines(buf, offsets)
-            for k in range(0, len(row), LINES):
-                r, s, e = row[k : k + LINES], start[k : k + LINES], end[k : k + LINES]
-                part = buf[s[0] : e[-1]]
-                s, e = s - s[0], e - s[0]
-                bands, to = _bands(*_sets(part, s, e))
-                keys = pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(bands))
-                columns = [pa.array(doc[at + r]), pa.array(order[at + r]), pa.array(pos[k : k + LINES].astype(np.int32)), _strings(part, s, e), keys]
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "ord", "pos", "norm", "keys"])
+WHITE = " \t\r\n\x0b\x0c"
+
+
+def _trimmed(line: Column) -> Column:
+    edge = F.lit(False)
+    for w in WHITE:  # trimming by a set of characters walks over the whole line; few lines need it
+        edge = edge | F.startswith(line, F.lit(w)) | F.endswith(line, F.lit(w))
+    return F.when(edge, F.btrim(line, F.lit(WHITE))).otherwise(line)
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc, ord, pos, lid, norm): the lines that are not blank, trimmed and lower-cased; doc is a hash of doc_id and text,
+    lid of the line."""
+    d = docs.where("text <> ''").select(F.xxhash64("doc_id", "text").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("ord"), F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
+    full = d.select("doc", "ord", "pos", _trimmed(F.col("line")).alias("line")).where("line <> ''")
+    return full.select("doc", "ord", "pos", F.lower("line").alias("norm")).withColumn("lid", F.xxhash64("norm"))
+
+
+def _bind(value: Column, f) -> Column:
+    """f(value), with the value computed once (as the only element of an array) however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _hashed(shingles: Column) -> Column:
+    return F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s)))
+
+
+def _set(norm: Column) -> Column:
+    """Distinct shingle hashes of a line; one shorter than a shingle is its own only shingle."""
+    every = F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    return _hashed(F.when(F.length(norm) < SHINGLE, F.array(norm)).otherwise(every))
+
+
+def _bands(hashes: Column) -> Column:
+    """Keys of the runs of three of a set's least hashes."""
+
+    def of(z: Column) -> Column:
+        at = lambda j: F.get(z["w"], j)
+
+        def run(x: Column, i: Column) -> Column:
+            ring = F.when(z["ring"], F.xxhash64(x, at((i + 1) % z["n"]), at((i + 2) % z["n"])))
+            return ring.when((x.bitwiseAND(z["thin"]) == 0) & (i + 2 < z["n"]), F.xxhash64(x, at(i + 1), at(i + 2)))
+
+        return F.filter(F.transform(z["w"], run), lambda k: k.isNotNull())
+
+    def shape(h: Column) -> Column:
+        n = F.size(h)
+        thin = F.when(n <= KEPT, 1).otherwise(3).cast("long")
+        return F.struct(F.slice(h, 1, KEPT).alias("w"), F.least(n, F.lit(KEPT)).alias("n"), thin.alias("thin"), (n <= RING).alias("ring"))
+
+    return _bind(_bind(F.sort_array(hashes), shape), of)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """The lines of docs that are not blank: doc, ord, pos, lid, norm and keys, the line's bands; doc is a hash of doc_id and
-    text, lid of the line."""
-    d = docs.where("text <> ''").select(F.xxhash64("doc_id", "text").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("ord"), "text")
-    out = map_arrow(d, _sign, "doc long, ord long, pos int, norm string, keys array<long>")
-    return out.withColumn("lid", F.xxhash64("norm"))
-
-
-def _alike(percent: int):
-    """Keeps the rows (a, b, norm_a, norm_b) whose two lines are alike."""
-
-    def test(batches) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
-            one, other = (batch.column(i).cast(pa.large_string()) for i in (2, 3))
-            for k, sides in _together(one, other):
-                (x, nx), (y, ny) = (_sets(buf, to[:-1], to[1:]) for buf, to in sides)
-                nx, ny = np.diff(nx), np.diff(ny)
-                z = np.concatenate([x, y])
-                z.sort()
-                both = np.bincount((z[1:][z[1:] == z[:-1]] >> np.uint64(BITS)).astype(np.int64), minlength=len(nx))
-                ok[k : k + len(nx)] = (100 + percent) * both >= percent * (nx + ny)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], ["a", "b"])
-
-    return test
-
-
-def _together(one, other) -> Iterator:
-    """(first row, [(buffer, offsets) of either column]) over two string columns, some rows at a time."""
-    sides = []
-    for c in (one, other):
-        to = np.frombuffer(c.buffers()[1], np.int64, len(c) + 1, c.offset * 8) if len(c) else np.zeros(1, np.int64)
-        sides.append((np.frombuffer(c.buffers()[2], np.uint8) if len(c) and c.buffers()[2] is not None else np.zeros(0, np.uint8), to))
-    row, n = 0, len(one)
-    while row < n:
-        upto = min(n, row + LINES, *(max(row + 1, int(np.searchsorted(to, to[row] + (1 << 20), "right")) - 1) for _, to in sides))
-        yield row, [(buf[to[row] : to[upto]], to[row : upto + 1] - to[row]) for buf, to in sides]
-        row = upto
-
-
-def _with_set(batches) -> Iterator:
-    """(lid, part, norm) to (lid, part, set), the distinct shingle hashes of the line."""
-    import pyarrow as pa
-
-    for batch in batches:
-        for at, buf, to in slices(batch.column(2)):
-            for k in range(0, len(to) - 1, LINES):
-                o = to[k : k + LINES + 1]
-                keys, first = _sets(buf[o[0] : o[-1]], o[:-1] - o[0], o[1:] - o[0])
-                sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array((keys & np.uint64((1 << BITS) - 1)).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(i).slice(at + k, len(o) - 1) for i in (0, 1)] + [sets], ["lid", "part", "set"])
+    """The lines of docs: doc, ord, pos, lid, norm and keys, the line's bands."""
+    starts = _hashed(F.regexp_extract_all("norm", F.lit(rf"(?s)(?=(.{{1,{SHINGLE}}}))[^ \t]*[ \t]*"), F.lit(1)))
+    out = _lines(docs).withColumn("starts", starts)
+    few, many = F.size("starts") < EVERY, F.size("starts") >= STARTS
+    none = F.array().cast("array<long>")
+    keys = F.concat(F.when(many, _bands(F.col("starts"))).otherwise(none), F.when(few, _bands(_set(F.col("norm")))).otherwise(none))
+    return out.withColumn("keys", keys).drop("starts")
+
+
+def _near(x: Column, y: Column, percent: int) -> Column:
+    """Whether two shingle sets are alike; sizes decide first."""
+    sx, sy = F.size(x), F.size(y)
+    may = 100 * F.least(sx, sy) >= percent * F.greatest(sx, sy)
+    return F.when(may, (100 + percent) * F.size(F.array_intersect(x, y)) >= percent * (sx + sy)).otherwise(False)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose lines (lid, norm) are alike."""
     side = lambda c: texts.select(F.col("lid").alias(c), F.col("norm").alias(f"norm_{c}"))
-    tested = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "norm_a", "norm_b").repartition("a", "b")
-    return cut(map_arrow(tested, _alike(percent), "a long, b long"))
+    tested = pairs.join(side("b"), "b").join(side("a"), "a").repartition("a", "b")
+    sets = F.struct(_set(F.col("norm_a")).alias("a"), _set(F.col("norm_b")).alias("b"))
+    return cut(tested.where(_bind(sets, lambda z: _near(z["a"], z["b"], percent))).select("a", "b"))
 
 
-def _apart(members: DataFrame, part: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of lines of one bucket (key, lid) that are of different parts (lid, part; a line without one is
-    its own), without those that can't be alike."""
-    of = members.join(part, "lid", "left").withColumn("part", F.coalesce("part", "lid"))
-    buckets = of.groupBy("key").agg(F.count("*").alias("c"), F.min("part").alias("p0"), F.max("part").alias("p1"))
-    # of two lines the one pair has been tested
-    buckets = cut(buckets.where("c > 2 and p0 < p1").select("key", (F.col("c") > LARGE).alias("large")))
-    of = cut(of.join(small(buckets, ROWS_SENT), "key").select("key", "large", "lid", "part"))
+def _links(unit: Column, by_key: Column, a: Column, b: Column, same: Column, percent: int) -> Column:
+    """Links between the lines (lid, part, keys, norm) of two blocks of a unit that are of different parts and share a
+    bucket, which is the unit's own where units are buckets (by_key)."""
+
+    def sets(block: Column) -> Column:
+        return F.transform(block, lambda line: F.struct(line["lid"].alias("lid"), line["part"].alias("part"), line["keys"].alias("keys"), _set(line["norm"]).alias("set")))
+
+    def test(x: Column, y: Column) -> Column:
+        open_ = (x["part"] != y["part"]) & ((x["lid"] < y["lid"]) | ~same) & F.arrays_overlap(x["keys"], y["keys"])
+        here = F.when(by_key, F.array_min(F.array_intersect(x["keys"], y["keys"])) == unit).otherwise(True)
+        return F.when(open_, F.when(here, _near(x["set"], y["set"], percent))).otherwise(False)
 
-    def meet(df: DataFrame, key: str) -> DataFrame:
-        one, other = df.select(key, F.col("lid").alias("a"), "part"), df.select(key, F.col("lid").alias("b"), F.col("part").alias("part_"))
-        return one.join(other, key).where("a < b and part <> part_").select("a", "b")
+    def pairs(z: Column) -> Column:
+        return F.flatten(F.transform(z["a"], lambda x: F.transform(F.filter(z["b"], lambda y: test(x, y)), lambda y: F.struct(x["lid"].alias("a"), y["lid"].alias("b")))))
 
-    lines = texts.join(of.where("large").select("lid", "part").distinct(), "lid")
-    sets = map_arrow(lines.select("lid", "part", "norm"), _with_set, "lid long, part long, set array<long>")
-    each = sets.select("lid", "part", F.size("set").alias("n"), F.explode("set").alias("s"))
-    shared = each.groupBy("s").agg(F.count("*").alias("df"))
-    ranked = each.join(shared, "s").groupBy("lid", "part", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("by"))
-    first = F.slice("by", 1, (F.floor((100 - percent) * F.col("n") / 100) + 1).cast("int"))
-    rare = ranked.select("lid", "part", F.explode(F.filter(first, lambda z: z["df"] > 1)).alias("z")).select("lid", "part", F.col("z.s").alias("s"))
-    return cut(meet(of.where("not large"), "key").union(meet(rare, "s")).distinct())
+    return _bind(F.struct(sets(a).alias("a"), sets(b).alias("b")), pairs)
+
+
+def _apart(members: DataFrame, cluster: DataFrame, part: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between lines of different parts (lid, part; a line without one is its own) that share a bucket."""
+    of = cluster.join(part, "lid", "left").withColumn("part", F.coalesce("part", "lid"))
+    # of two lines the one pair has been tested
+    size = of.groupBy("comp").agg(F.count("*").alias("n"), F.min("part").alias("p0"), F.max("part").alias("p1")).where("n > 2 and p0 < p1")
+    of = cut(of.join(size.select("comp", "n"), "comp"))
+    large = members.join(of.where(f"n > {WHOLE}").select("lid", "part"), "lid")
+    bucket = large.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("p0"), F.max("part").alias("p1")).where("n > 2 and p0 < p1")
+    large = large.join(bucket.select("key", "n"), "key").select(F.col("key").alias("unit"), F.lit(True).alias("by_key"), "lid", "part", "n")
+    lines = of.where(f"n <= {WHOLE}").select(F.col("comp").alias("unit"), F.lit(False).alias("by_key"), "lid", "part", "n").union(large)
+    block = F.pmod(F.xxhash64("lid"), F.ceil(F.col("n") / BLOCK)).cast("int")
+    lines = lines.join(texts, "lid").groupBy("unit", "by_key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), block.alias("block"))
+    packed = cut(lines.agg(F.collect_list(F.struct("lid", "part", "keys", "norm")).alias("lines")))
+    meet = packed.select("unit", "by_key", F.col("block").alias("lo"), F.col("lines").alias("a"), F.explode_outer(F.sequence("block", F.col("blocks") - 1)).alias("hi"))
+    alone = meet.where("lo = hi").withColumn("b", F.col("a")).select("unit", "by_key", "lo", "hi", "a", "b")
+    other = packed.select("unit", "by_key", F.col("block").alias("hi"), F.col("lines").alias("b"))
+    meet = alone.union(meet.where("lo < hi").join(other, ["unit", "by_key", "hi"]).select("unit", "by_key", "lo", "hi", "a", "b"))
+    found = meet.repartition("unit", "lo", "hi").select(F.explode_outer(_links(F.col("unit"), F.col("by_key"), F.col("a"), F.col("b"), F.col("lo") == F.col("hi"), percent)).alias("e"))
+    return cut(found.where("e is not null").select("e.a", "e.b"))
 
 
 def line_components(docs: DataFrame, percent: int = 80, lines: DataFrame | None = None) -> DataFrame:
@@ -230,12 +155,12 @@ def line_components(docs: DataFrame, percent: int = 80, lines: DataFrame | None
     lead = cut(spread.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).where("lo < hi").select("key", "lo"))
     members = cut(spread.join(small(lead, ROWS_SENT), "key").distinct())
     pairs = cut(members.where("lid <> lo").select(F.col("lo").alias("a"), F.col("lid").alias("b")).distinct())
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct())
-    texts = cut(lines.select("lid", "norm").join(small(ids, ROWS_SENT), "lid").groupBy("lid").agg(F.first("norm").alias("norm")))
-    sure = _verified(pairs, texts, percent)
+    cluster = cut(components(pairs).select(F.col("node").alias("lid"), "comp"))
+    texts = lines.select("lid", "norm", "keys").join(small(cluster.select("lid"), ROWS_SENT), "lid")
+    texts = cut(texts.groupBy("lid").agg(F.first("norm").alias("norm"), F.first("keys").alias("keys")))
+    sure = _verified(pairs, texts.select("lid", "norm"), percent)
     part = components(sure).select(F.col("node").alias("lid"), F.col("comp").alias("part"))
-    apart = _apart(members.select("key", "lid"), part, texts, percent)
-    return components(sure.union(_verified(apart.join(pairs, ["a", "b"], "left_anti"), texts, percent)))
+    return components(sure.union(_apart(members.select("key", "lid"), cluster, part, texts, percent)))
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
