@@ -29,7 +29,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 #: Tags that an opening tag closes if they are open (up to the named boundary).
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "body": ({"head"}, set()), "option": ({"option"}, {"select"})}
 ENDS_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>")
+#: What an attribute value holds if its quote was never closed: the end of its tag, then more tags.
+SPILT = re.compile(r">[^<]*+<(?:/[a-zA-Z]|[a-zA-Z]++[\s>])")
 ATTR = re.compile(r"(class|id|role|aria-label|itemprop|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 #: Attribute tokens by what they say of a node.
@@ -74,17 +76,61 @@ def flags_of(attrs: str) -> int:
     return out
 
 
+def tags(source: str):
+    """(start, end, closing, name, attributes) of the tags of a page in order; comments and declarations have no name.
+
+    Each character is looked at a bounded number of times. A quote that is not closed, or only by a later tag's quote,
+    is no quote: the tag ends at its first `>`. A tag or comment that never ends reaches to the end of the page.
+    """
+    at, n, last = 0, len(source), source.rfind(">")
+    while True:
+        at = source.find("<", at)
+        if at < 0 or at + 1 >= n:
+            return
+        c = source[at + 1]
+        if c in "!?":
+            close = "-->" if source.startswith("<!--", at) else ">"
+            end = source.find(close, at + (4 if close == "-->" else 2))
+            end = end + len(close) if end >= 0 else n
+            yield at, end, "", None, ""
+            at = end
+        elif c.isascii() and c.isalpha() or c == "/" and source[at + 2 : at + 3].isascii() and source[at + 2 : at + 3].isalpha():
+            if at > last:
+                yield at, n, "", None, ""
+                return
+            m = TAG.match(source, at)
+            spilt = m is None or "<" in m.group(3) and SPILT.search(m.group(3))
+            if spilt:  # without quotes
+                end = source.index(">", at)
+                name = re.compile(r"[^\s/>]+").match(source, at + 1 + (c == "/")).group()
+                yield at, end + 1, "/" if c == "/" else "", name.lower(), source[at + 1 + (c == "/") + len(name) : end]
+                at = end + 1
+            else:
+                yield at, m.end(), m.group(1), m.group(2).lower(), m.group(3)
+                at = m.end()
+        else:
+            at += 1
+
+
+@lru_cache(256)
+def _closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}\s*+>", re.I)
+
+
 class Page:
-    """Nodes in page order (parents first): tag, parent, flags, and for leaves the text and its characters in links."""
+    """Nodes in page order (parents first): tag, parent, flags, and for leaves the text and its characters in links.
+
+    Inline elements make no nodes, so they never part a word; what they are named counts for nothing.
+    """
 
     __slots__ = ("tag", "parent", "flags", "text", "link", "inputs")
 
     def __init__(self, source: str):
         self.tag, self.parent, self.flags, self.text, self.link, self.inputs = [OTHER], [-1], [0], [None], [0], [0]
         stack, names = [0], ["#root"]
+        opened: dict[str, int] = {}
         run: list[str] = []
         links, in_a = 0, 0
-        inline: list[str] = []
         at, n = 0, len(source)
 
         def flush() -> None:
@@ -100,36 +146,37 @@ class Page:
                     self.add(self.tag[top], top, self.flags[top], s, min(links, len(s)))
             links = 0
 
-        def pop_to(i: int) -> None:
-            del stack[i:]
-            del names[i:]
+        def close(*which: str) -> None:
+            """Close the innermost open element of these names and all in it."""
+            while True:
+                stack.pop()
+                name = names.pop()
+                opened[name] -= 1
+                if name in which:
+                    return
 
-        for m in TOKEN.finditer(source):
-            if m.start() < at:
+        for start, end, closing, name, attrs in tags(source):
+            if start < at:
                 continue
-            if m.start() > at:
-                run.append(source[at : m.start()])
+            if start > at:
+                run.append(source[at:start])
                 if in_a:
-                    links += m.start() - at
-            at = m.end()
-            name = m.group(2)
+                    links += start - at
+            at = end
             if name is None:
                 continue
-            name = name.lower()
-            if m.group(1):
+            if closing:
                 if name == "a":
                     in_a = max(0, in_a - 1)
-                if name in INLINE and name not in names:
-                    continue
-                if name in names:
+                elif opened.get(name):
                     flush()
-                    pop_to(len(names) - 1 - names[::-1].index(name))
-                    in_a = 0 if name not in INLINE else in_a
+                    close(name)
+                    in_a = 0
                 continue
             if name in DROPPED:
-                if not m.group(3).endswith("/"):
-                    end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                    at = end.end() if end else n
+                if not attrs.endswith("/"):
+                    stop = _closing(name).search(source, at)
+                    at = stop.end() if stop else n
                     if name in ("select", "textarea"):
                         self.inputs[stack[-1]] += 1
                 continue
@@ -139,35 +186,30 @@ class Page:
             if name == "input":
                 self.inputs[stack[-1]] += 1
                 continue
-            f = flags_of(m.group(3)) if m.group(3) else 0
             if name in INLINE or name in VOID:
-                if name == "a" and not m.group(3).endswith("/"):
+                if name == "a" and not attrs.endswith("/"):
                     in_a += 1
-                if name in VOID or not f & ~(1 << KINDS.index("main")):
-                    if name == "hr":
-                        flush()
-                    continue
-                # an inline element that says what it is becomes a node
+                elif name == "hr":
+                    flush()
+                continue
             flush()
-            if name in ENDS_P and "p" in names:
-                pop_to(len(names) - 1 - names[::-1].index("p"))
+            if name in ENDS_P and opened.get("p"):
+                close("p")
             if name in CLOSES:
-                kinds, stop = CLOSES[name]
-                for i in range(len(names) - 1, 0, -1):
-                    if names[i] in stop:
-                        break
+                kinds, stops = CLOSES[name]
+                if any(opened.get(k) for k in kinds):
+                    i = len(names) - 1
+                    while names[i] not in kinds and names[i] not in stops:
+                        i -= 1
                     if names[i] in kinds:
-                        pop_to(i)
-                        break
-            in_a = 0 if name not in INLINE else in_a
-            if m.group(3).endswith("/") and name not in TAG_ID:
+                        close(*kinds)
+            in_a = 0
+            if attrs.endswith("/") and name not in TAG_ID:
                 continue
-            self.add(TAG_ID.get(name, OTHER), stack[-1], f, None, 0)
+            self.add(TAG_ID.get(name, OTHER), stack[-1], flags_of(attrs) if attrs else 0, None, 0)
             stack.append(len(self.tag) - 1)
             names.append(name)
-            if len(stack) > 400:  # deeper nesting keeps its text at this depth
-                stack.pop()
-                names.pop()
+            opened[name] = opened.get(name, 0) + 1
         if at < n:
             run.append(source[at:])
             if in_a:

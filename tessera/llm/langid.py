@@ -19,8 +19,10 @@ from tessera.llm.common import map_arrow, mix, slices, table, with_fields
 
 #: Hashed n-gram features.
 DIM = 4096
-#: Labelled documents that training takes at most (in expectation), shared evenly by the languages; and languages.
-TRAIN_DOCS, MAX_LANGS = 1600, 256
+#: Labelled documents that training takes at most (in expectation), shared evenly by the languages.
+TRAIN_DOCS = 1600
+#: What a language gets at least, so that training takes more in all where there are very many languages.
+LEAST_DOCS = 40
 #: Texts that are turned into features at a time.
 ROWS = 256
 
@@ -66,6 +68,8 @@ def _sliced(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def codewords(k: int) -> np.ndarray:
     """k codewords of -1 and 1: every split of the languages for up to 6, else random columns with the best row distance."""
+    if k == 1:  # one language: one bit, the same whatever is read
+        return np.ones((1, 1))
     if k <= 6:
         cols = [c for c in product((-1, 1), repeat=k) if c[0] == 1 and -1 in c]
         return np.array(cols, np.float64).T.reshape(k, -1)
@@ -101,22 +105,23 @@ def decode(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     p = np.exp(-4 * (loss - loss.min(1, keepdims=True)))
     p /= p.sum(1, keepdims=True)
     top = np.sort(p, 1)
-    return loss.argmin(1), top[:, -1], top[:, -1] - (top[:, -2] if p.shape[1] > 1 else 0)
+    return loss.argmin(1), top[:, -1], top[:, -1] - (top[:, -2] if p.shape[1] > 1 else 0.0)
 
 
 def train(docs: DataFrame, use: Column, train_docs: int = TRAIN_DOCS) -> tuple[list[str], dict | None]:
     """Languages and model, learnt from text and lang of the rows of docs where `use` holds and lang is not null.
 
-    The sample is bounded by train_docs (in expectation, by a hash of doc_id and text) and MAX_LANGS, the most frequent.
+    The sample is bounded, in expectation, by train_docs, or LEAST_DOCS a language where that is more (drawn by a hash of
+    doc_id and text). Every language that has a row is learnt.
     """
     known = docs.where(use & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    count = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    count = known.groupBy("lang").count().orderBy("lang").collect()
     if not count:
         return [], None
-    per = train_docs / len(count)
+    per = max(train_docs / len(count), LEAST_DOCS)
     rate = F.create_map(*[F.lit(x) for r in count for x in (r["lang"], min(1.0, per / r["count"]))])
     draw = F.pmod(F.xxhash64(F.lit("train"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.where(F.col("lang").isin([r["lang"] for r in count]) & (draw < rate[F.col("lang")])).select("lang", "text")
+    sample = known.where(draw < rate[F.col("lang")]).select("lang", "text")
 
     def rows(batches):
         import pyarrow as pa

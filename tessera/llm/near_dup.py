@@ -128,11 +128,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     Words are runs of anything but ASCII white space, A-Z lower-cased; whole texts count, of any length. Null and
     empty texts have no shingles and are linked with nothing. Rows are told apart by their shingle set: repeated rows
     and equal texts share a component. A null doc_id never becomes a component_id as long as the component has
-    another; such rows are linked by equal sets only, and kept if their component has no id. Empty table: no rows.
+    another; such rows are linked like all others, and kept if their component has no id. One doc_id on several texts is
+    several documents of that id. Empty table: no rows.
     """
     base = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     signed = cut(map_arrow(base, _signer(k, bands, rows), "doc_id long, key long, n long, s1 long, s2 long, keys array<long>"))
-    cls = cut(signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")).withColumnRenamed("s1", "cid"))
+    cls = cut(signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min(F.struct("key", "doc_id")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")).withColumnRenamed("s1", "cid"))
     spread = cls.select("cid", F.explode("keys").alias("key"))
     lead = spread.groupBy("key").agg(F.min("cid").alias("lead"), F.count("*").alias("c")).where("c > 1").select("key", "lead")
     pairs = spread.join(lead, "key").where("cid <> lead").select("cid", "lead").distinct()
@@ -143,13 +144,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     mass = mass.join(mass.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "comp")
     members = mass.select(F.col("node").alias("cid"), F.col("n").alias("set_size"), "rep", "comp", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     # each block meets every block of its cluster once, itself included
-    texts = base.drop("key").where("doc_id is not null").join(members.withColumnRenamed("rep", "doc_id"), "doc_id").dropDuplicates(["cid"])
+    mine = (F.col("key") == F.col("rep.key")) & F.col("doc_id").eqNullSafe(F.col("rep.doc_id"))
+    texts = base.join(members, mine).select("cid", "comp", "blocks", "block", "text").dropDuplicates(["cid"])
     meet = texts.select("comp", "cid", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     meet = meet.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "cid", "block", "text")
     links = group_arrow(meet, ["comp", "lo", "hi"], _links(k, percent), "a long, b long")
     comp = components(links)
-    of = cls.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "s2", "rep", F.coalesce("comp", "cid").alias("comp"))
-    least = of.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    of = cls.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "s2", "least", F.coalesce("comp", "cid").alias("comp"))
+    least = of.groupBy("comp").agg(F.min("least").alias("component_id"))
     of = of.join(least, "comp").select(F.col("cid").alias("s1"), "s2", "component_id")
     out = signed.select("doc_id", "key", "n", "s1", "s2").join(of, ["s1", "s2"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
