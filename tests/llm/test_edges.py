@@ -35,7 +35,7 @@ OPERATORS = {
     "lines": lambda d: line_dedup.dedup_lines(d),
     "near": lambda d: near_dup.near_duplicates(d),
     "mix": lambda d: mixing.mix_sources(d),
-    "pii": lambda d: pii.pseudonymise(d),
+    "pii": lambda d: pii.pseudonymise(d, "a key"),
     "licenses": lambda d: license_scan.scan(d),
     "langid": lambda d: langid.identify(d, F.lit(True)),
     "decontam": lambda d: decontam.contaminated(d, d.select(F.col("doc_id").alias("item_id"), "text", "n")),
