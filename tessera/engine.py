@@ -131,7 +131,7 @@ class Engine:
 
     def get_symbols(self, repo: str, symbol_ids: list[str]) -> tuple[DataFrame, DataFrame]:
         """Up to 50 symbols with source in the order asked for, and the ids not found."""
-        found, missing = outline.symbols_by_ids(self._t("symbols", repo), symbol_ids[: schemas.MAX_BATCH])
+        found, missing = outline.symbols_by_ids(self._t("symbols", repo), symbol_ids)
         return outline.with_source(found, self._t("contents", repo)).orderBy("pos"), missing
 
     def get_symbol_context(self, repo: str, symbol_id: str, include_graph: bool = False) -> DataFrame:

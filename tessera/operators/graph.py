@@ -160,14 +160,16 @@ def pagerank(nodes: DataFrame, edge: DataFrame, damping: float = 0.85, rounds: i
     out = e.groupBy("src").agg(F.count("*").alias("out"))
     e = cut(e.join(out, "src"))
     rank = cut(nodes.select(F.col("node")).distinct().join(out.withColumnRenamed("src", "node"), "node", "left").select("node", F.col("out").isNull().alias("sink"), F.lit(1.0).alias("rank")))
-    n = rank.count()
-    for i in range(rounds):
-        lost = rank.where("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        flow = e.join(rank.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        new = rank.join(flow, "node", "left").select("node", "sink", (F.lit(1 - damping) + damping * (F.coalesce("got", F.lit(0.0)) + lost / max(n, 1))).alias("rank"), F.col("rank").alias("old"))
-        new = cut(new)
+    n, lost = rank.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0))).first()
+    for _ in range(rounds):
+        # what flows in, and the node itself (with its old rank), meet in one aggregation
+        flow = e.join(rank.select(F.col("node").alias("src"), "rank"), "src").select(F.col("dst").alias("node"), F.lit(None).cast("boolean").alias("sink"), (F.col("rank") / F.col("out")).alias("got"), F.lit(None).cast("double").alias("old"))
+        own = rank.select("node", "sink", F.lit(None).cast("double").alias("got"), F.col("rank").alias("old"))
+        new = flow.unionByName(own).groupBy("node").agg(F.max("sink").alias("sink"), F.sum("got").alias("got"), F.max("old").alias("old")).where("old is not null")
+        new = cut(new.select("node", "sink", (F.lit(1 - damping) + damping * (F.coalesce("got", F.lit(0.0)) + lost / max(n, 1))).alias("rank"), "old"))
         rank = new.drop("old")
-        if tolerance is not None and (new.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0) < tolerance:
+        lost, moved = new.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)), F.max(F.abs(F.col("rank") - F.col("old")))).first()
+        if tolerance is not None and (moved or 0) < tolerance:
             break
     return rank.select("node", "rank")
 
@@ -203,6 +205,9 @@ def cycles(edge: DataFrame, rounds: int = 200) -> DataFrame:
         groups = cut(back.groupBy("low").agg(F.count("*").alias("n")).where("n > 1").join(back, "low").select("low", "node"))
         found = groups if found is None else found.unionByName(groups)
         e = cut(same.select("src", "dst").join(back.select(F.col("node").alias("src")), "src", "left_anti").join(back.select(F.col("node").alias("dst")), "dst", "left_anti"))
+    else:
+        if e.limit(1).count():
+            raise RuntimeError(f"cycles are not all found in {rounds} rounds")
     if found is None:
         found = e.select(F.col("src").alias("low"), F.col("src").alias("node")).limit(0)
     return found.groupBy(F.col("low").alias("comp")).agg(F.sort_array(F.collect_set("node")).alias("members"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,9 +70,11 @@ def with_source(symbols: DataFrame, contents: DataFrame, context: int = 0, verif
 
 
 def symbols_by_ids(symbols: DataFrame, ids: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows for at most 50 asked ids in the order asked for, and the ids not found."""
+    """Rows for at most 50 asked ids in the order asked for, and the ids not found. More ids are an error."""
+    if len(ids) > 50:
+        raise ValueError("at most 50 ids")
     spark = symbols.sparkSession
-    asked = spark.createDataFrame(list(enumerate(ids[:50])), "pos int, id string")
+    asked = spark.createDataFrame(list(enumerate(ids)), "pos int, id string")
     return symbols.join(F.broadcast(asked), "id").orderBy("pos"), asked.join(symbols.select("id"), "id", "left_anti").orderBy("pos")
 
 
@@ -88,6 +93,21 @@ def context(symbols: DataFrame, symbol_id: str, call_edges: DataFrame | None = N
     return out.orderBy("pos", "line", "id").drop("pos")
 
 
+def sibling_counts(rows: DataFrame, group: list[str], at: str) -> DataFrame:
+    """rows with `siblings`, the other rows of the same group (columns `group`, null equal to null) at another place `at`,
+    and `first_sibling`, the least such place. By counts and the two least places of each group, not by pairs of rows."""
+    place = rows.groupBy(*group, at).agg(F.count("*").alias("_c"))
+    whole = place.where(F.col(at).isNotNull()).groupBy(*group).agg(F.sum("_c").alias("_n"), F.min(at).alias("_least"))
+    on = lambda a, b: reduce(and_, [a[g].eqNullSafe(b[g]) for g in group])
+    both = place.join(whole, on(place, whole)).where(place[at] > whole["_least"]).groupBy(*[place[g] for g in group]).agg(F.min(place[at]).alias("_next"))
+    whole = whole.join(both, on(whole, both), "left").select(*[whole[g] for g in group], "_n", "_least", "_next")
+    j = rows.join(place, on(rows, place) & rows[at].eqNullSafe(place[at]), "left").join(whole, on(rows, whole), "left")
+    other = rows[at].isNotNull()
+    n = F.when(other, F.coalesce(whole["_n"] - place["_c"], F.lit(0))).otherwise(0)
+    first = F.when(other, F.when(rows[at] == F.col("_least"), F.col("_next")).otherwise(F.col("_least")))
+    return j.select(*[rows[c] for c in rows.columns], n.cast("long").alias("siblings"), first.alias("first_sibling"))
+
+
 def type_hierarchy(edges: DataFrame, symbols: DataFrame, symbol_id: str, depth: int = 100) -> DataFrame:
     """(direction, node, name, kind, file, line, depth, relationship): all ancestors and descendants over inherits and implements.
 

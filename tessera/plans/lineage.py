@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +9,10 @@ BROADCAST_ROWS = 50_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir (a temporary one only where that is unset) and read from there."""
+    """df written to the folder in spark.checkpoint.dir (one in the warehouse where that is unset) and read from there."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/.checkpoints")
     return df.checkpoint()
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.operators import graph, quality
+from tessera.plans.lineage import cut, small
 
 TABLES = {"symbols": schemas.SYMBOLS, "files": schemas.FILES, "contents": schemas.CONTENTS, "repos": schemas.REPOS, "edges": schemas.EDGES, "imports": schemas.IMPORTS, "embeddings": schemas.EMBEDDINGS}
 NAME = re.compile(r"[A-Za-z0-9_\-.]{1,100}")
@@ -43,12 +44,12 @@ class Store:
 
     def resolve(self, repo: str) -> str:
         """The repository that a name means: owner/name, a bare name, or a folder's name without its hash."""
-        known = [(r["repo"], r["name"]) for r in self.table("repos").select("repo", "name").limit(10_000).collect()]
-        exact = [k for k, _ in known if k == repo]
-        hits = exact or [k for k, n in known if n == repo] or [k for k, n in known if re.sub(r"-[0-9a-f]{12}$", "", n) == repo]
-        if len(hits) != 1:
+        same = [F.col("repo") == repo, F.col("name") == repo, F.regexp_replace("name", "-[0-9a-f]{12}$", "") == repo]
+        how = F.coalesce(*[F.when(c, F.lit(i)) for i, c in enumerate(same)])
+        hits = self.table("repos").select("repo", how.alias("how")).where("how is not null").orderBy("how").limit(2).collect()
+        if len(hits) == 2 and hits[0]["how"] == hits[1]["how"] or not hits:
             raise LookupError(f"repository {'is ambiguous' if hits else 'not found'}: {repo}")
-        return hits[0]
+        return hits[0]["repo"]
 
     @contextmanager
     def _lock(self, repo: str, wait: float = 30.0):
@@ -67,8 +68,20 @@ class Store:
         finally:
             fs.delete(p, False)
 
-    def _replace(self, name: str, df: DataFrame) -> None:
-        """Replace the partitions of the repositories in df; the new files are complete before the old ones go."""
+    def _partition(self, name: str, repo: str) -> str:
+        return f"{self.path(name)}/repo={self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(repo)}"
+
+    def _replace(self, name: str, df: DataFrame, repo: str | None = None) -> None:
+        """Replace the partitions of the repositories in df; the new files are complete before the old ones go.
+
+        A dynamic overwrite leaves partitions alone that get no row: with `repo`, one left without rows is deleted.
+        """
+        if repo is not None:
+            df = cut(df)
+            if not df.limit(1).count():
+                fs, p = self._fs(self._partition(name, repo))
+                fs.delete(p, True)
+                return
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(self.path(name))
 
     def save(self, owner: str, name: str, files: DataFrame, symbols: DataFrame, git_head: str | None = None) -> str:
@@ -77,16 +90,16 @@ class Store:
             raise ValueError("not a repository name")
         repo = f"{owner}/{name}"
         with self._lock(repo):
-            self._replace("contents", files.select("repo", "file", "content").repartitionByRange("file").sortWithinPartitions("file"))
-            self._replace("files", files.select("repo", "file", "language", "sha256", "n_bytes", "ord"))
-            self._replace("symbols", symbols.repartitionByRange("file").sortWithinPartitions("file", "line"))
+            self._replace("contents", files.select("repo", "file", "content").repartitionByRange("file").sortWithinPartitions("file"), repo)
+            self._replace("files", files.select("repo", "file", "language", "sha256", "n_bytes", "ord"), repo)
+            self._replace("symbols", symbols.repartitionByRange("file").sortWithinPartitions("file", "line"), repo)
             self._derive(repo, owner, name, git_head)
         return repo
 
     def _derive(self, repo: str, owner: str, name: str, git_head: str | None) -> None:
         s, f = self.table("symbols", repo), self.table("files", repo)
-        self._replace("edges", graph.edges(s))
-        self._replace("imports", graph.import_edges(s))
+        self._replace("edges", graph.edges(s), repo)
+        self._replace("imports", graph.import_edges(s), repo)
         langs = f.join(s.select("repo", "file").distinct(), ["repo", "file"], "left_semi").groupBy("language").agg(F.count("*").cast("int").alias("n"))
         langs = langs.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("language", "n")))).alias("languages"))
         row = s.agg(F.count("*").alias("symbol_count")).crossJoin(f.agg(F.count("*").alias("file_count"))).crossJoin(langs)
@@ -98,8 +111,6 @@ class Store:
 
         Returns (file, status). Vectors of symbols whose text changed or that are gone are dropped.
         """
-        from tessera.plans.lineage import cut
-
         repo = f"{owner}/{name}"
         old_f, old_s = self.table("files", repo), self.table("symbols", repo)
         changes = cut(quality.detect_changes(old_f, files))
@@ -110,7 +121,7 @@ class Store:
         kept = cut(self.table("embeddings", repo).join(stale.withColumnRenamed("id", "symbol_id"), "symbol_id", "left_anti"))
         self.save(owner, name, cut(files), merged, git_head)
         if self.exists(self.path("embeddings")):
-            self._replace("embeddings", kept)
+            self._replace("embeddings", kept, repo)
         return changes
 
     @staticmethod
@@ -121,11 +132,9 @@ class Store:
 
     def upsert_embeddings(self, rows: DataFrame) -> None:
         """Add vectors; a new vector of a symbol and model replaces the old one."""
-        from tessera.plans.lineage import cut
-
         key = ["repo", "symbol_id", "model"]
-        repos = [r[0] for r in rows.select("repo").distinct().limit(1000).collect()]
-        self._replace("embeddings", cut(self.table("embeddings", repos).join(rows.select(*key), key, "left_anti").unionByName(rows)))
+        before = self.table("embeddings").join(small(cut(rows.select("repo").distinct())), "repo", "left_semi")
+        self._replace("embeddings", cut(before.join(rows.select(*key), key, "left_anti").unionByName(rows)))
 
     def drop(self, repo: str, confirm: bool = False) -> bool:
         """Delete all that belongs to a repository, if confirmed."""
@@ -133,8 +142,7 @@ class Store:
             return False
         with self._lock(repo):
             for t in TABLES:
-                part = f"{self.path(t)}/repo={self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(repo)}"
-                fs, p = self._fs(part)
+                fs, p = self._fs(self._partition(t, repo))
                 fs.delete(p, True)
         self.spark.catalog.clearCache()
         return True
