@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime
 import inspect
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,53 @@ from tessera.sources.store import Store, folder_identity
 
 #: Ranges of the integer arguments of queries.
 CLAMPS = {"context_lines": (0, 100), "max_results": (1, 50), "max_depth": (1, 10), "limit": (1, 100), "line": (1, 1_000_000)}
+#: Length of a text argument, but for those that are whole documents.
+MAX_TEXT, WHOLE_TEXTS = 2_000, ("diff_text", "ignore")
+
+
+def checked(tool, args: dict) -> dict:
+    """args as the query's signature has them: no unknown or missing ones, texts without control characters and at most
+    MAX_TEXT long, integers within their ranges, true and false also as words. Raises ValueError."""
+    known = {k: p for k, p in inspect.signature(tool).parameters.items() if k != "self"}
+    if unknown := sorted(set(args) - set(known)):
+        raise ValueError(f"unknown arguments: {', '.join(unknown)}")
+    if missing := [k for k, p in known.items() if p.default is inspect.Parameter.empty and k not in args]:
+        raise ValueError(f"missing arguments: {', '.join(missing)}")
+
+    def text_of(k: str, v: str) -> str:
+        if len(v) > MAX_TEXT or any(ord(c) < 32 and c not in "\t\n\r" for c in v) and k not in WHOLE_TEXTS:
+            raise ValueError(f"{k} is too long or holds control characters")
+        return v
+
+    out = {}
+    for k, v in args.items():
+        kind = str(known[k].annotation)
+        if kind.startswith("int") and v is not None:
+            if isinstance(v, bool) or not re.fullmatch(r"\s*[+-]?[0-9]{1,9}\s*", str(v)):
+                raise ValueError(f"{k} is a whole number")
+            v = int(v)
+            lo, hi = CLAMPS.get(k, (v, v))
+            v = min(max(v, lo), hi)
+        elif kind.startswith("bool"):
+            word = str(v).strip().lower()
+            if word not in ("true", "false", "1", "0"):
+                raise ValueError(f"{k} is true or false")
+            v = word in ("true", "1")
+        elif kind.startswith("float") and v is not None:
+            try:
+                v = float(v)
+            except (TypeError, ValueError):
+                raise ValueError(f"{k} is a number") from None
+        elif kind.startswith("str") and v is not None:
+            if not isinstance(v, str):
+                raise ValueError(f"{k} is a text")
+            v = v if k in WHOLE_TEXTS else text_of(k, v)
+        elif kind.startswith("list") and v is not None:
+            if not isinstance(v, list) or not all(isinstance(x, str) for x in v):
+                raise ValueError(f"{k} is a list of texts")
+            v = [text_of(k, x) for x in v]
+        out[k] = v
+    return out
 
 
 class Engine:
@@ -32,13 +80,16 @@ class Engine:
         self.spark, self.store, self.usage, self.embed, self.model = spark, Store(spark, warehouse), usage, embed, model
 
     def run(self, tool: str, **args):
-        """A query by name, its integer arguments clamped to their ranges."""
+        """A query by name, its arguments checked against its signature and integers clamped to their ranges."""
         if tool not in TOOLS:
             raise LookupError(f"no such tool: {tool}")
-        for k, (lo, hi) in CLAMPS.items():
-            if isinstance(args.get(k), (int, str)) and not isinstance(args.get(k), bool):
-                args[k] = min(max(int(args[k]), lo), hi)
-        return getattr(self, tool)(**args)
+        return getattr(self, tool)(**checked(getattr(Engine, tool), args))
+
+    def safe_message(self, error: Exception) -> str:
+        """What may be told of an error: its first line without the warehouse's and other absolute paths, at most 500 characters."""
+        said = (str(error) or type(error).__name__).splitlines()[0]
+        said = said.replace(self.store.folder, "<warehouse>")
+        return re.sub(r"(?<![\w.<>])(?:[A-Za-z]:)?(?:[/\\][\w.@ +-]+){2,}", "<path>", said)[:500]
 
     def catalog(self) -> DataFrame:
         rows = [(t, str(inspect.signature(getattr(Engine, t))).replace("(self, ", "(").replace("(self)", "()"), (getattr(Engine, t).__doc__ or "").strip().split("\n")[0]) for t in TOOLS]
@@ -312,4 +363,4 @@ class Engine:
         return manifests.licenses(self.spark, manifests.read_files(repo_path))
 
 
-TOOLS = [n for n, f in vars(Engine).items() if inspect.isfunction(f) and not n.startswith("_") and n not in ("run", "catalog", "register_views", "embed_missing", "scan_module_settings")]
+TOOLS = [n for n, f in vars(Engine).items() if inspect.isfunction(f) and not n.startswith("_") and n not in ("run", "safe_message", "catalog", "register_views", "embed_missing", "scan_module_settings")]

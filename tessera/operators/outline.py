@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,16 +93,16 @@ def context(symbols: DataFrame, symbol_id: str, call_edges: DataFrame | None = N
 def sibling_counts(rows: DataFrame, group: list[str], at: str) -> DataFrame:
     """rows with `siblings`, the other rows of the same group (columns `group`, null equal to null) at another place `at`,
     and `first_sibling`, the least such place. By counts and the two least places of each group, not by pairs of rows."""
-    place = rows.groupBy(*group, at).agg(F.count("*").alias("_c"))
-    whole = place.where(F.col(at).isNotNull()).groupBy(*group).agg(F.sum("_c").alias("_n"), F.min(at).alias("_least"))
-    on = lambda a, b: reduce(and_, [a[g].eqNullSafe(b[g]) for g in group])
-    both = place.join(whole, on(place, whole)).where(place[at] > whole["_least"]).groupBy(*[place[g] for g in group]).agg(F.min(place[at]).alias("_next"))
-    whole = whole.join(both, on(whole, both), "left").select(*[whole[g] for g in group], "_n", "_least", "_next")
-    j = rows.join(place, on(rows, place) & rows[at].eqNullSafe(place[at]), "left").join(whole, on(rows, whole), "left")
-    other = rows[at].isNotNull()
-    n = F.when(other, F.coalesce(whole["_n"] - place["_c"], F.lit(0))).otherwise(0)
-    first = F.when(other, F.when(rows[at] == F.col("_least"), F.col("_next")).otherwise(F.col("_least")))
-    return j.select(*[rows[c] for c in rows.columns], n.cast("long").alias("siblings"), first.alias("first_sibling"))
+    key = F.struct(*[F.col(g).alias(f"k{i}") for i, g in enumerate(group)])  # structs compare nulls as equal values
+    place = rows.where(F.col(at).isNotNull()).groupBy(key.alias("_key"), F.col(at).alias("_at")).agg(F.count("*").alias("_c"))
+    least = place.groupBy("_key").agg(F.sum("_c").alias("_n"), F.min("_at").alias("_least"))
+    later = place.select(F.col("_key").alias("_key2"), "_at").join(least, F.col("_key2").eqNullSafe(F.col("_key"))).where("_at > _least").groupBy("_key2").agg(F.min("_at").alias("_next"))
+    whole = least.join(later, F.col("_key").eqNullSafe(F.col("_key2")), "left").select(F.col("_key").alias("_key1"), "_n", "_least", "_next")
+    own = place.select(F.col("_key").alias("_key3"), F.col("_at").alias("_at3"), "_c")
+    j = rows.withColumn("_key", key).join(own, F.col("_key").eqNullSafe(F.col("_key3")) & (F.col(at) == F.col("_at3")), "left")
+    j = j.join(whole, F.col("_key").eqNullSafe(F.col("_key1")) & F.col(at).isNotNull(), "left")
+    first = F.when(F.col(at) == F.col("_least"), F.col("_next")).otherwise(F.col("_least"))
+    return j.select(*[F.col(c) for c in rows.columns], F.coalesce(F.col("_n") - F.col("_c"), F.lit(0)).cast("long").alias("siblings"), first.alias("first_sibling"))
 
 
 def type_hierarchy(edges: DataFrame, symbols: DataFrame, symbol_id: str, depth: int = 100) -> DataFrame:

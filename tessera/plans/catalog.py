@@ -15,6 +15,7 @@ from tessera.functions import text, vec
 from tessera.operators import graph, outline, quality, search, security
 from tessera.plans import adapter
 from tessera.plans.adapter import SYMBOLS_SQL, edges_sql, table
+from tessera.streaming import usage as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,7 +34,7 @@ def query(sql: str | None = None):
     return add
 
 
-E35, E45 = edges_sql(35), edges_sql(45)
+E35 = edges_sql(35)
 
 # ---------------------------------------------------------------- graph
 
@@ -107,21 +108,21 @@ def impact_closure(spark, d):
 
 @query(f"""
 WITH RECURSIVE e AS ({E35}), r AS (SELECT [CAST(0 AS BIGINT)] AS path, CAST(0 AS BIGINT) AS last, 0 AS hops UNION ALL
-  SELECT list_append(path, e.dst), e.dst, hops + 1 FROM r JOIN e ON e.src = r.last WHERE hops < 4 AND NOT list_contains(path, e.dst) AND last <> 1)
+  SELECT list_append(path, e.dst), e.dst, hops + 1 FROM r JOIN e ON e.src = r.last WHERE hops < 10 AND NOT list_contains(path, e.dst) AND last <> 1)
 SELECT array_to_string(path, '>') AS path, CAST(hops AS INTEGER) AS hops FROM r WHERE last = 1 ORDER BY r.hops, r.path LIMIT 5
 """)
 def call_chains(spark, d):
-    p = graph.paths(adapter.call_edges(spark, d), 0, 1, 4)
+    p = graph.paths(adapter.call_edges(spark, d), 0, 1)
     return p.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "hops")
 
 
 @query(f"""
-WITH RECURSIVE e AS ({E45}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst),
+WITH RECURSIVE e AS MATERIALIZED ({E35}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst),
 g AS (SELECT a.src AS node, least(a.src, min(a.dst)) AS comp FROM r a JOIN r b ON a.dst = b.src AND a.src = b.dst WHERE a.src <> a.dst GROUP BY a.src)
 SELECT comp, count(*) AS size, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS members FROM g GROUP BY comp
 """)
 def call_cycles(spark, d):
-    c = graph.cycles(adapter.call_edges(spark, d, 45))
+    c = graph.cycles(adapter.call_edges(spark, d))
     return c.select("comp", F.size("members").cast("long").alias("size"), F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
 
 
@@ -146,10 +147,18 @@ i AS (SELECT root AS id, count(DISTINCT node) - 1 AS impact_size FROM c GROUP BY
 SELECT t.id, t.name, t.fan_in, t.fan_out, i.impact_size, round(r.rank, 4) AS rank FROM t JOIN i USING (id) JOIN r3 r ON r.node = t.id ORDER BY round(r.rank, 4) DESC, t.fan_in DESC, t.id LIMIT 20
 """)
 def key_symbols(spark, d):
+    """The reduced form, with ranks after three rounds, which SQL can follow; key_symbols_settled has the operator's defaults."""
     out = quality.key_symbols(adapter.symbols(spark, d), adapter.call_edges(spark, d), rounds=3)
     return out.select("id", "name", "fan_in", "fan_out", "impact_size", "rank")
 
 
+@query()
+def key_symbols_settled(spark, d):
+    """Ranks until they move by less than the tolerance: when that is, SQL can't tell (tests compare with plain loops)."""
+    out = quality.key_symbols(adapter.symbols(spark, d), adapter.call_edges(spark, d))
+    return out.select("id", "name", "fan_in", "fan_out", "impact_size", "rank")
+
+
 @query(f"""
 WITH e AS ({E35}), fi AS (SELECT dst AS id, count(*) AS fan_in FROM e GROUP BY dst), s AS (SELECT s.*, coalesce(fan_in, 0) AS fan_in FROM ({SYMBOLS_SQL}) s LEFT JOIN fi USING (id)),
 b AS (SELECT min(cognitive) a0, max(cognitive) a1, min(cyclomatic) b0, max(cyclomatic) b1, min(fan_in) c0, max(fan_in) c1, min(max_nesting) d0, max(max_nesting) d1 FROM s)
@@ -161,13 +170,13 @@ def risk_hotspots(spark, d):
 
 
 @query(f"""
-WITH RECURSIVE e AS ({E45}), s AS (SELECT p_partkey AS id FROM part WHERE p_size = 1), k AS (SELECT p_partkey AS id FROM part WHERE p_size = 50),
-r AS (SELECT id AS root, id AS node, 0 AS depth FROM s UNION SELECT r.root, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 4)
+WITH RECURSIVE e AS MATERIALIZED ({E35}), s AS (SELECT p_partkey AS id FROM part WHERE p_size = 1), k AS (SELECT p_partkey AS id FROM part WHERE p_size = 50),
+r AS (SELECT id AS root, id AS node, 0 AS depth FROM s UNION SELECT r.root, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 10)
 SELECT root AS source, node AS sink, CAST(min(depth) AS INTEGER) AS depth FROM r JOIN k ON k.id = r.node GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 20
 """)
 def taint_pairs(spark, d):
     s = adapter.symbols(spark, d)
-    return security.taint_pairs(adapter.call_edges(spark, d, 45), s.where("line = 1").select("id", "ord"), s.where("line = 50").select("id"), 4)
+    return security.taint_pairs(adapter.call_edges(spark, d), s.where("line = 1").select("id", "ord"), s.where("line = 50").select("id"), 10)
 
 
 # ---------------------------------------------------------------- outlines
@@ -200,9 +209,60 @@ def file_tree(spark, d):
 SELECT a.conv_id, a.turn, count(b.turn) AS siblings, coalesce(min(b.turn), -1) AS first_sibling FROM conversations a LEFT JOIN conversations b ON a.conv_id IS NOT DISTINCT FROM b.conv_id AND a.role IS NOT DISTINCT FROM b.role AND a.turn <> b.turn GROUP BY a.conv_id, a.turn
 """)
 def siblings_context(spark, d):
-    a, b = (table(spark, d, "conversations").select(*[F.col(c).alias(f"{p}_{c}") for c in ("conv_id", "turn", "role")]) for p in "ab")
-    j = a.join(b, F.col("a_conv_id").eqNullSafe(F.col("b_conv_id")) & F.col("a_role").eqNullSafe(F.col("b_role")) & (F.col("a_turn") != F.col("b_turn")), "left")
-    return j.groupBy(F.col("a_conv_id").alias("conv_id"), F.col("a_turn").alias("turn")).agg(F.count("b_turn").alias("siblings"), F.coalesce(F.min("b_turn"), F.lit(-1)).alias("first_sibling"))
+    rows = outline.sibling_counts(table(spark, d, "conversations").select("conv_id", "turn", "role"), ["conv_id", "role"], "turn")
+    return rows.groupBy("conv_id", "turn").agg(F.sum("siblings").alias("siblings"), F.coalesce(F.min("first_sibling"), F.lit(-1)).alias("first_sibling"))
+
+
+@query(f"""
+WITH s AS (SELECT *, language AS parent FROM ({SYMBOLS_SQL})), e AS ({E35}), t AS (SELECT * FROM s WHERE id = 7)
+SELECT 'symbol' AS role, id, name, file, line FROM t
+UNION ALL SELECT 'sibling', s.id, s.name, s.file, s.line FROM s JOIN t ON s.file = t.file AND s.parent = t.parent AND s.id <> t.id
+UNION ALL SELECT 'caller', s.id, s.name, s.file, s.line FROM s WHERE id IN (SELECT src FROM e WHERE dst = 7 ORDER BY src LIMIT 20)
+UNION ALL SELECT 'callee', s.id, s.name, s.file, s.line FROM s WHERE id IN (SELECT dst FROM e WHERE src = 7 ORDER BY dst LIMIT 20)
+""")
+def symbol_context(spark, d):
+    s = adapter.symbols(spark, d).withColumn("parent", F.col("language"))
+    out = outline.context(s.withColumn("parent", F.hash("parent").cast("long") - (1 << 40)), 7, adapter.call_edges(spark, d))
+    return out.select("role", "id", "name", "file", "line")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 3 AS dst FROM part WHERE p_partkey > 0),
+up AS (SELECT CAST(40 AS BIGINT) AS node, 0 AS depth UNION SELECT e.dst, depth + 1 FROM up JOIN e ON e.src = up.node),
+down AS (SELECT CAST(40 AS BIGINT) AS node, 0 AS depth UNION SELECT e.src, depth + 1 FROM down JOIN e ON e.dst = down.node)
+SELECT 'ancestor' AS direction, node, depth FROM up WHERE depth > 0 UNION ALL SELECT 'descendant', node, depth FROM down WHERE depth > 0
+""")
+def type_tree(spark, d):
+    """A type's ancestors and descendants where part n inherits from part n / 3."""
+    s = adapter.symbols(spark, d)
+    e = s.where("id > 0").select(F.lit("inherits").alias("rel"), F.col("id").alias("src"), F.floor(F.col("id") / 3).cast("long").alias("dst"))
+    return outline.type_hierarchy(e, s.withColumn("name", F.col("id").cast("string")), 40).select("direction", F.col("node").cast("long").alias("node"), "depth")
+
+
+IMPORTS = "SELECT DISTINCT p_brand AS file, 'Brand#' || p_size AS module FROM part"
+
+
+def _imports(spark, d):
+    return table(spark, d, "part").select(F.col("p_brand").alias("file"), F.concat(F.lit("Brand#"), F.col("p_size").cast("string")).alias("module")).distinct()
+
+
+@query(f"SELECT file, min(module) AS module FROM ({IMPORTS}) WHERE module = 'Brand#12' AND file <> 'Brand#12' GROUP BY file")
+def importers(spark, d):
+    return outline.importers_of(_imports(spark, d), "Brand#12")
+
+
+@query(f"SELECT module, CASE WHEN module IN (SELECT p_brand FROM part) THEN module ELSE '' END AS candidates FROM ({IMPORTS}) WHERE file = 'Brand#12'")
+def imports_with_candidates(spark, d):
+    i = _imports(spark, d)
+    return outline.imports_of(i, i.select("file").distinct(), "Brand#12").select("module", F.array_join("candidates", ",").alias("candidates"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, text AS source, true AS content_verified FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL")
+def symbol_sources(spark, d):
+    """Each document as one symbol that spans its file: read by byte range and held against its hash."""
+    c = adapter.documents(spark, d).where("content is not null and file is not null").select(F.coalesce("repo", F.lit("-")).alias("repo"), "file", F.col("content").cast("binary").alias("content"))
+    s = c.select("repo", "file", F.col("file").alias("id"), F.lit(0).cast("long").alias("byte_offset"), F.octet_length("content").cast("long").alias("byte_length"), F.sha2("content", 256).alias("content_hash"), F.lit(1).alias("line"), F.lit(1).alias("end_line"))
+    return outline.with_source(s, c, 0, True).select("id", "source", "content_verified")
 
 
 # ---------------------------------------------------------------- search
@@ -224,7 +284,8 @@ def cross_source_search(spark, d):
 
 @query(f"SELECT file, line, regexp_replace(text, '{text.SECRET.replace(chr(39), chr(39) * 2)}', '<REDACTED>', 'g') AS text FROM ({LINES}) WHERE text <> regexp_replace(text, '{text.SECRET.replace(chr(39), chr(39) * 2)}', '<REDACTED>', 'g')")
 def redacted_lines(spark, d):
-    rows = search.lines(adapter.documents(spark, d), redacted=False).withColumn("clean", text.redact_secrets("text"))
+    held = adapter.documents(spark, d).where(F.col("content").rlike(text.SECRET))  # few documents have any
+    rows = search.lines(held, redacted=False).withColumn("clean", text.redact_secrets("text"))
     return rows.where("clean <> text").select("file", F.col("line").cast("long").alias("line"), F.col("clean").alias("text"))
 
 
@@ -298,10 +359,10 @@ LICENSE = "(Apache License, Version 2.0|MIT License|GNU General Public License|C
 
 @query(f"""
 SELECT license, CASE WHEN license IN ('Apache License, Version 2.0', 'MIT License') THEN 'permissive' ELSE 'unknown' END AS classification, count(*) AS n
-FROM (SELECT regexp_extract(text, '{LICENSE}', 1) AS license FROM documents) WHERE license <> '' GROUP BY ALL
+FROM (SELECT unnest(regexp_extract_all(text, '{LICENSE}', 1)) AS license FROM documents) GROUP BY ALL
 """)
 def license_classes(spark, d):
-    x = table(spark, d, "documents").select(F.regexp_extract("text", LICENSE, 1).alias("license")).where("license <> ''")
+    x = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(LICENSE), F.lit(1))).alias("license"))
     return x.groupBy("license", text.classify_license("license").alias("classification")).agg(F.count("*").alias("n"))
 
 
@@ -366,8 +427,14 @@ def usage_stats(spark, d):
 
 @query("SELECT event_type AS tool_name, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS calls, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1, 2")
 def usage_window(spark, d):
-    u = table(spark, d, "events")
-    return u.groupBy(F.col("event_type").alias("tool_name"), F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("calls"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors")).select("tool_name", F.col("w.start").cast("timestamp_ntz").alias("day"), "calls", "errors")
+    return streaming.usage_windows(adapter.usage(spark, d), "1 day").select("tool_name", F.col("start").cast("timestamp_ntz").alias("day"), "calls", "errors")
+
+
+@query()
+def rate_limited_calls(spark, d):
+    """Which events the limiter lets through; a denied call frees the next ones, which SQL windows can't say."""
+    calls = table(spark, d, "events").select(F.col("event_type").alias("tool_name"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("call_id"))
+    return streaming.limited(calls).select("tool_name", "call_id", "allowed")
 
 
 @query("""

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections import Counter, deque
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import schemas
 
 #: Calls a tool and all tools together may make within the window; timestamps further in the future are not believed.
 PER_TOOL, GLOBAL, WINDOW_S, FUTURE_S = 60, 300, 60.0, 5.0
+#: Calls that one Python call decides on, about (a stretch without a pause is never parted).
+BUNDLE = 20_000
 
 
 def read_usage(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,43 +33,75 @@ def usage_windows(usage: DataFrame, width: str = "1 hour", late: str = "10 minut
     return out.select("tool_name", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "calls", "errors", "avg_ms")
 
 
-def admit(times: list[float], taken: list[float], limit: int, window: float = WINDOW_S) -> tuple[list[bool], list[float]]:
-    """Which calls at `times` (in order) are let through; calls that are denied don't count against later ones."""
-    out = []
-    for t in times:
-        taken = [x for x in taken if t - window < x]
-        ok = len(taken) < limit
+def admit(calls: Iterable[tuple[str, float]], taken: list[tuple[str, float]], limit: int = PER_TOOL, overall: int = GLOBAL, window: float = WINDOW_S) -> tuple[list[bool], list[tuple[str, float]]]:
+    """Which calls (tool, time; in order) are let through, given those `taken` before, and what is taken then.
+
+    A tool may make `limit` calls in the window and all tools together `overall`. Calls that are denied don't count
+    against later ones, nor do times more than FUTURE_S ahead. A call without a time is denied.
+    """
+    out, now, per = [], deque(sorted(taken, key=lambda x: x[1])), Counter(t for t, _ in taken)
+    for tool, at in calls:
+        if at is None or math.isnan(at):
+            out.append(False)
+            continue
+        while now and now[0][1] <= at - window:
+            per[now.popleft()[0]] -= 1
+        while now and now[-1][1] > at + FUTURE_S:
+            per[now.pop()[0]] -= 1
+        ok = per[tool] < limit and len(now) < overall
         if ok:
-            taken.append(t)
+            now.append((tool, at))
+            per[tool] += 1
         out.append(ok)
-    return out, taken
+    return out, list(now)
+
+
+ALLOWED = "tool_name string, ts timestamp, call_id long, allowed boolean"
+
 
+def _in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.sort_values(["ts", "call_id"])
 
-def limited(calls: DataFrame, limit: int = PER_TOOL, window: float = WINDOW_S) -> DataFrame:
-    """calls (tool_name, ts, call_id) of a table with `allowed`, by tool and in time order."""
+
+def _events(pdf: pd.DataFrame) -> list[tuple[str, float | None]]:
+    return [(tool, None if pd.isna(t) else t.timestamp()) for tool, t in zip(pdf["tool_name"], pdf["ts"])]
+
+
+def limited(calls: DataFrame, limit: int = PER_TOOL, overall: int = GLOBAL, window: float = WINDOW_S) -> DataFrame:
+    """calls (tool_name, ts, call_id) of a table with `allowed`, in time order.
+
+    A pause longer than the window makes what follows independent of what came before: calls are cut into stretches at
+    such pauses (found among the distinct window-long slots that hold a call), and bundles of stretches run apart.
+    """
+    slot = F.floor(F.unix_micros("ts") / F.lit(int(window * 1e6)))
+    rows = calls.select("tool_name", "ts", "call_id", slot.alias("slot"))
+    order = Window.orderBy("slot")  # over slots that hold a call, of which a day has 1,440 at most
+    slots = rows.groupBy("slot").count().withColumn("new", (F.col("slot") - F.lag("slot").over(order) > 1).cast("int"))
+    slots = slots.select("slot", (F.sum("count").over(order) - F.col("count")).alias("before"), F.coalesce(F.sum(F.coalesce("new", F.lit(0))).over(order), F.lit(0)).alias("stretch"))
+    slots = slots.select(F.col("slot").alias("at"), F.floor(F.min("before").over(Window.partitionBy("stretch")) / BUNDLE).alias("bundle"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "call_id"])
-        pdf["allowed"] = admit([t.timestamp() for t in pdf["ts"]], [], limit, window)[0]
-        return pdf
+        pdf = _in_order(pdf)
+        pdf["allowed"] = admit(_events(pdf), [], limit, overall, window)[0]
+        return pdf[["tool_name", "ts", "call_id", "allowed"]]
 
-    return calls.select("tool_name", "ts", "call_id").groupBy("tool_name").applyInPandas(run, "tool_name string, ts timestamp, call_id long, allowed boolean")
+    return rows.join(slots, F.col("slot").eqNullSafe(F.col("at"))).select("tool_name", "ts", "call_id", "bundle").groupBy("bundle").applyInPandas(run, ALLOWED)
 
 
-def limited_stream(calls: DataFrame, limit: int = PER_TOOL, window: float = WINDOW_S) -> DataFrame:
-    """The same on a stream: a tool's state is the times of its calls let through within the window."""
+def limited_stream(calls: DataFrame, limit: int = PER_TOOL, overall: int = GLOBAL, window: float = WINDOW_S) -> DataFrame:
+    """The same on a stream. As all tools share one limit there is one state, of the calls let through within the window
+    (at most `overall`)."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        taken = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches))
-        rows = rows.sort_values(["ts", "call_id"])
-        allowed, taken = admit([t.timestamp() for t in rows["ts"]], taken, limit, window)
-        state.update((taken,))
+        taken = list(zip(*state.get)) if state.exists else []
+        rows = _in_order(pd.concat(list(batches)))
+        allowed, taken = admit(_events(rows), taken, limit, overall, window)
+        state.update(([t for t, _ in taken], [x for _, x in taken]))
         rows["allowed"] = allowed
         yield rows[["tool_name", "ts", "call_id", "allowed"]]
 
-    grouped = calls.select("tool_name", "ts", "call_id").groupBy("tool_name")
-    return grouped.applyInPandasWithState(run, "tool_name string, ts timestamp, call_id long, allowed boolean", "taken array<double>", "append", "NoTimeout")
+    grouped = calls.select("tool_name", "ts", "call_id", F.lit(0).alias("all")).groupBy("all")
+    return grouped.applyInPandasWithState(run, ALLOWED, "tools array<string>, times array<double>", "append", "NoTimeout")
 
 
 def log_usage(rows: DataFrame, folder: str) -> None:

@@ -244,3 +244,78 @@ def test_catalog_queries_equal_their_sql(spark):
         df = catalog.QUERIES[name](spark, d).select(*[F.col(c) for c in sorted(catalog.QUERIES[name](spark, d).columns)])
         want = con.execute(f"SELECT * FROM ({catalog.ORACLES[name]})").fetchdf()
         assert sorted(map(str, df.toPandas().values.tolist())) == sorted(map(str, want[sorted(want.columns)].values.tolist()))
+
+
+def test_emptied_index_keeps_nothing(spark, tmp_path):
+    """The last symbol, edge, import and vector of a repository go with their file."""
+    p = tmp_path / "src"
+    p.mkdir()
+    (p / "a.py").write_text("import os\n\ndef f():\n    return g()\n\ndef g():\n    return 1\n")
+    (p / "b.txt").write_text("plain")
+    e = Engine(spark, str(tmp_path / "wh"), embed=lambda texts: [[1.0, 0.0] for _ in texts])
+    e.index_folder(str(p), name="p")
+    e.embed_missing(["local/p"])
+    count = lambda: {t: e.store.table(t, "local/p").count() for t in ("symbols", "edges", "imports", "embeddings")}
+    assert all(count().values())
+    (p / "a.py").write_text("def f():\n    return 2\n")
+    e.index_folder(str(p), name="p")
+    assert count() == {"symbols": 1, "edges": 0, "imports": 0, "embeddings": 1}
+    assert e.get_callers("p", "a.py::g#function").count() == 0
+    (p / "a.py").write_text("# nothing\n")
+    e.index_folder(str(p), name="p")
+    assert count() == {"symbols": 0, "edges": 0, "imports": 0, "embeddings": 0}
+
+
+def test_limiter_counts_all_tools_and_no_future(spark):
+    from tessera.streaming import usage
+
+    allowed, taken = usage.admit([(f"t{i % 7}", 100 + i / 100) for i in range(400)], [])
+    assert sum(allowed) == 300 and len(taken) == 300
+    assert usage.admit([("a", 100.0)], [("a", 150.0)] * 60)[0] == [True]  # taken times further ahead are not believed
+    assert usage.admit([("a", 100.0)], [("a", 104.0)] * 60)[0] == [False]
+    assert usage.admit([("a", None), ("a", float("nan"))], [])[0] == [False, False]
+    rows = [("a", 1000.0 * k + i / 10, 100 * k + i) for k in range(5) for i in range(70)]
+    calls = spark.createDataFrame(rows, "tool_name string, t double, call_id long").select("tool_name", F.timestamp_seconds("t").alias("ts"), "call_id")
+    got = {r["call_id"]: r["allowed"] for r in usage.limited(calls).collect()}
+    assert got == {c: c % 100 < 60 for _, _, c in rows}
+
+
+def test_arguments_are_checked(spark, tmp_path):
+    from tessera.engine import checked
+
+    assert checked(Engine.get_callers, {"repo": "r", "symbol_id": "x", "max_depth": "99"})["max_depth"] == 10
+    assert checked(Engine.search_symbols, {"repo": "r", "semantic": "true"})["semantic"] is True
+    for bad in ({"repo": "r"}, {"repo": "r", "symbol_id": "x", "depth": 1}, {"repo": "r", "symbol_id": 3}, {"repo": "r", "symbol_id": "a\x00"}, {"repo": "r", "symbol_id": "x", "max_depth": "many"}):
+        with pytest.raises(ValueError):
+            checked(Engine.get_callers, bad)
+    e = Engine(spark, str(tmp_path / "wh"))
+    assert "/home" not in e.safe_message(ValueError("no file /home/someone/x.py here")) and str(tmp_path) not in e.safe_message(ValueError(f"bad {tmp_path}/wh/symbols"))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tessera.__main__ import main
+
+    p = tmp_path / "src"
+    p.mkdir()
+    (p / "a.py").write_text("def f(x):\n    return eval(x)\n")
+    (p / "b.py").write_text("def g():\n    return 1\n")
+    wh = str(tmp_path / "wh")
+    assert main([wh, "index", str(p)], spark) == 0
+    name = Engine(spark, wh).list_repos().first()["repo"]
+    assert main([wh, "scan", name], spark) == 2
+    assert main([wh, "run", "get_file_tree", f"repo={name}"], spark) == 0
+    assert main([wh, "run", "nothing"], spark) == 1 and main([wh, "run", "get_callers", "repo"], spark) == 1 and main([wh], spark) == 1
+    out = capsys.readouterr()
+    assert "SEC-001" in out.out and "no such tool" in out.err
+
+
+def test_manifest_edges():
+    from tessera.sources import manifests as m
+
+    rows, notes = m.parse_dependencies({"requirements.txt": "# c\n\nflask[async] == 2.0 ; x\n-r other\nhttps://h/x.whl\nrequests>=1 # note\n"})
+    assert [r[:2] for r in rows] == [("flask", "2.0"), ("requests", None)] and len(notes) == 2 and "line 4" in notes[0]
+    assert m.parse_dependencies({"uv.lock": "not [toml"})[0] == [] and m.parse_dependencies({"package-lock.json": "{"})[0] == []
+    old = '{"dependencies": {"a": {"version": "1", "dependencies": {"b": {"version": "2"}}}, "c": {"version": "3"}}}'
+    assert {r[:2] for r in m.parse_dependencies({"package-lock.json": old})[0]} == {("a", "1"), ("b", "2"), ("c", "3")}
+    go = "module x\n\nrequire (\n\ta/b v1.2.3 // indirect\n\tc/d v0.0.1\n)\n\nrequire e/f v2.0.0\nreplace g/h => i/j v9.9.9\n"
+    assert [r[:2] for r in m.parse_dependencies({"go.mod": go})[0]] == [("a/b", "v1.2.3"), ("c/d", "v0.0.1"), ("e/f", "v2.0.0")]

@@ -86,3 +86,26 @@ def test_cycles_equal_brute_force(spark):
     want = {tuple(sorted(y for y in range(30) if y in reach[x] and x in reach[y])) for x in range(30)}
     got = {tuple(c["members"]) for c in graph.cycles(spark.createDataFrame(list(edges), "src long, dst long")).collect()}
     assert got == {c for c in want if len(c) > 1}
+
+
+def test_pagerank_equals_plain_loop(spark):
+    import random
+
+    r = random.Random(4)
+    edges = sorted({(r.randrange(40), r.randrange(60)) for _ in range(150)} - {(i, i) for i in range(60)})
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+    rank = dict.fromkeys(range(60), 1.0)
+    for _ in range(50):
+        lost = sum(rank[i] for i in rank if i not in out)
+        new = {i: 0.15 + 0.85 * lost / 60 for i in rank}
+        for a, bs in out.items():
+            for b in bs:
+                new[b] += 0.85 * rank[a] / len(bs)
+        moved = max(abs(new[i] - rank[i]) for i in rank)
+        rank = new
+        if moved < 1e-4:
+            break
+    got = graph.pagerank(spark.range(60).withColumnRenamed("id", "node"), spark.createDataFrame(edges, "src long, dst long"))
+    assert {x["node"]: round(x["rank"], 9) for x in got.collect()} == {i: round(v, 9) for i, v in rank.items()}
