@@ -8,6 +8,9 @@ the other half. What fails validation stays as it is.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +26,7 @@ WALKS = 16
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "key": r"(?<![0-9A-Za-z_-])(?:sk-[0-9A-Za-z_-]{20,}+|gh[opsur]_[0-9A-Za-z]{36,}+|AKIA[0-9A-Z]{16}|xox[abprs]-[0-9A-Za-z-]{10,}+)(?![0-9A-Za-z_-])",
-    "secret": r"(?<=\")[0-9A-Fa-f]{16,64}(?=\")|(?<=(?i:password|passwd|pwd|secret|token|api_?key)[ \t]{0,4}[=:][ \t]{0,4}[\"'])[^\"'\s]{6,128}(?=[\"'])",
+    "secret": r"(?<=\")[0-9A-Fa-f]{16,64}(?=\")|(?<=[\"'])(?<=(?i:password|passwd|pwd|secret|token|api_?key)[ \t]{0,4}[=:][ \t]{0,4}[\"'])[^\"'\s]{6,128}(?=[\"'])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[23Ff][0-9A-Fa-f]{3}:(?:[0-9A-Fa-f]{1,4}:){0,5}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:.])",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
@@ -247,6 +250,15 @@ def pseudonym(m: Column, key: str) -> Column:
     return F.coalesce(out, m)
 
 
+def holds_any(text: Column) -> Column:
+    """Whether a text holds a match of ANY. Kind by kind, each behind a character that it needs, this takes a fraction of
+    the time of the alternation, which then only reads texts with a hit."""
+    digit = text.rlike("[0-9]")
+    has = lambda *parts: reduce(or_, [text.contains(p) for p in parts])
+    needs = {"email": has("@"), "key": has("sk-", "gh", "AKIA", "xox"), "secret": has('"', "'"), "ipv6": has(":")}
+    return reduce(or_, [needs.get(kind, digit) & text.rlike(p) for kind, p in PATTERNS.items()])
+
+
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs (text, more) with a last struct column `pii`: text (values replaced), n_found, n_replaced, kinds (sorted).
 
@@ -258,7 +270,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """
     r = free_name(docs, "row")
     text = F.col(f"{r}.text")
-    row = docs.select(F.struct("*").alias(r)).withColumn("hits", F.when(text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    row = docs.select(F.struct("*").alias(r)).withColumn("hits", F.when(holds_any(text), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
     row = row.withColumn("made", F.transform("hits", lambda m: pseudonym(m, key)))
     row = row.withColumn("kinds", F.sort_array(F.array_distinct(F.filter(F.transform("hits", kind_of), lambda k: k.isNotNull()))))
     # the text between the values, and after each piece its value's replacement (nothing after the last)
