@@ -19,7 +19,7 @@ from tessera import schemas
 from tessera.extract import run as extraction
 from tessera.operators import graph, outline, quality, render, search, security
 from tessera.plans.lineage import cut
-from tessera.sources import diff, manifests, tree
+from tessera.sources import diff, manifests, scanner, tree
 from tessera.sources.store import Store, folder_identity
 
 #: Ranges of the integer arguments of queries.
@@ -186,8 +186,8 @@ class Engine:
         return outline.with_source(found, self._t("contents", repo)).orderBy("pos"), missing
 
     def get_symbol_context(self, repo: str, symbol_id: str, include_graph: bool = False) -> DataFrame:
-        """A symbol with siblings and parent, on request with callers and callees."""
-        return outline.context(self._t("symbols", repo), symbol_id, self._calls(repo) if include_graph else None)
+        """A symbol with siblings and parent, on request with callers, callees and, of a class, its hierarchy."""
+        return outline.context(self._t("symbols", repo), symbol_id, self._t("edges", repo) if include_graph else None)
 
     # ---- search
 
@@ -341,13 +341,25 @@ class Engine:
         """Findings of the security rules."""
         return security.scan(self._t("symbols", repo), self._sources(repo), category, severity, limit)
 
+    def count_findings(self, repo: str, category: str | None = None, severity: str | None = None) -> DataFrame:
+        """Findings of the security rules by severity, all of them."""
+        return security.by_severity(security.findings(self._t("symbols", repo), self._sources(repo), category, severity))
+
     def scan_module_settings(self, repo: str) -> DataFrame:
         """Unsafe settings at the top level of Python files."""
         return security.scan_modules(self._content_rows([self.store.resolve(repo)]))
 
-    def trace_taint(self, repo: str, source_calls: list[str] | None = None, max_depth: int = 10) -> DataFrame:
-        """Paths from symbols that read outside data to findings of high severity."""
-        return security.trace_taint(self._t("symbols", repo), self._calls(repo), source_calls, min(max(max_depth, 1), 10))
+    def trace_taint(self, repo: str, source_calls: list[str] | None = None, max_depth: int = 10, semgrep: bool = False, repo_path: str | None = None) -> DataFrame | tuple[DataFrame, DataFrame]:
+        """Paths from symbols that read outside data to findings of high severity; with semgrep also the scanner's findings.
+
+        Where the scanner can't run, its findings are one row that says so.
+        """
+        paths = security.trace_taint(self._t("symbols", repo), self._calls(repo), source_calls, min(max(max_depth, 1), 10))
+        return (paths, scanner.findings(self.spark, repo_path)) if semgrep and repo_path else paths
+
+    def summarize_taint(self, repo: str, source_calls: list[str] | None = None, max_depth: int = 10) -> DataFrame:
+        """How many sources, findings and paths between them there are, and what the paths do not show."""
+        return security.taint_summary(self._t("symbols", repo), self._calls(repo), source_calls, min(max(max_depth, 1), 10))
 
     def generate_sbom(self, repo_path: str, format: str = "table"):
         """Dependencies of a project's lock files, as rows or as a CycloneDX or SPDX document."""
@@ -363,4 +375,4 @@ class Engine:
         return manifests.licenses(self.spark, manifests.read_files(repo_path))
 
 
-TOOLS = [n for n, f in vars(Engine).items() if inspect.isfunction(f) and not n.startswith("_") and n not in ("run", "safe_message", "catalog", "register_views", "embed_missing", "scan_module_settings")]
+TOOLS = [n for n, f in vars(Engine).items() if inspect.isfunction(f) and not n.startswith("_") and n not in ("run", "safe_message", "catalog", "register_views", "embed_missing", "scan_module_settings", "count_findings", "summarize_taint")]

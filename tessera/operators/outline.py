@@ -75,18 +75,26 @@ def symbols_by_ids(symbols: DataFrame, ids: list[str]) -> tuple[DataFrame, DataF
     return symbols.join(F.broadcast(asked), "id").orderBy("pos"), asked.join(symbols.select("id"), "id", "left_anti").orderBy("pos")
 
 
-def context(symbols: DataFrame, symbol_id: str, call_edges: DataFrame | None = None, cap: int = 20) -> DataFrame:
-    """(role, id, name, kind, file, line) of a symbol, its siblings (same file and parent, by line), parent, and callers and callees."""
+def context(symbols: DataFrame, symbol_id: str, edges: DataFrame | None = None, cap: int = 20) -> DataFrame:
+    """(role, id, name, kind, file, line) of a symbol, its siblings (same file and parent, by line) and parent.
+
+    With edges (rel, src, dst) also its direct callers and callees and, of a class, all ancestors and descendants that are
+    symbols; at most `cap` of each, the nearest first.
+    """
     cols = ["id", "name", "kind", "file", "line"]
     one = symbols.where(F.col("id") == symbol_id).limit(1)
     t = F.broadcast(one.select(F.col("id").alias("t_id"), F.col("file").alias("t_file"), F.col("parent").alias("t_parent")))
     tag = lambda df, role, pos: df.select(F.lit(pos).alias("pos"), F.lit(role).alias("role"), *cols)
     out = tag(one, "symbol", 0).unionByName(tag(symbols.join(t, (symbols["id"] == F.col("t_parent"))), "parent", 1))
     out = out.unionByName(tag(symbols.join(t, (symbols["file"] == F.col("t_file")) & symbols["parent"].eqNullSafe(F.col("t_parent")) & (symbols["id"] != F.col("t_id"))), "sibling", 2))
-    if call_edges is not None:
+    if edges is not None:
         for role, a, b, pos in (("caller", "dst", "src", 3), ("callee", "src", "dst", 4)):
-            ids = call_edges.where(F.col(a) == symbol_id).select(F.col(b).alias("id")).distinct().orderBy("id").limit(cap)
+            ids = edges.where(F.col("rel") == "calls").where(F.col(a) == symbol_id).select(F.col(b).alias("id")).distinct().orderBy("id").limit(cap)
             out = out.unionByName(tag(symbols.join(F.broadcast(ids), "id"), role, pos))
+        if one.where("kind = 'class'").count():
+            types = type_hierarchy(edges, symbols, symbol_id).withColumnRenamed("node", "id").where("kind is not null")
+            for role, pos in (("ancestor", 5), ("descendant", 6)):
+                out = out.unionByName(tag(types.where(F.col("direction") == role).orderBy("depth", "id").limit(cap), role, pos))
     return out.orderBy("pos", "line", "id").drop("pos")
 
 

@@ -94,8 +94,8 @@ def _checked(kind: pd.Series, source: pd.Series) -> pd.Series:
     return pd.Series([None if k is None or s is None else check_arguments(k, s) for k, s in zip(kind, source)], dtype="object")
 
 
-def scan(symbols: DataFrame, sources: DataFrame | None = None, category: str | None = None, severity: str | None = None, k: int = 100, rule_rows: DataFrame | None = None) -> DataFrame:
-    """Findings (severity, file, line, rule_id, ...) of the rules over symbols, worst first; at most k.
+def findings(symbols: DataFrame, sources: DataFrame | None = None, category: str | None = None, severity: str | None = None, rule_rows: DataFrame | None = None) -> DataFrame:
+    """All findings (rank of the severity, file, line, rule_id, ...) of the rules over symbols, in no order.
 
     A symbol without imports has those of its file. Rules with an argument check run on their candidates only, and only
     if sources (repo, id, source) are given; where the check could be made, the superseded rule is silent for the symbol.
@@ -123,7 +123,19 @@ def scan(symbols: DataFrame, sources: DataFrame | None = None, category: str | N
         over = deep.where("supersedes is not null").select("repo", "id", F.col("supersedes").alias("rule_id")).distinct()
         hit = plain.join(over, ["repo", "id", "rule_id"], "left_anti").unionByName(deep.where("bad")).drop("bad")
     rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv]), F.col("severity")), F.lit(3))
-    return hit.withColumn("rank", rank).orderBy("rank", "file", "line", "rule_id").limit(k).select("repo", "rule_id", "severity", "confidence", "id", F.col("name").alias("symbol"), "file", "line", "matched_calls", "owasp", "cwe")
+    return hit.select(rank.alias("rank"), "repo", "rule_id", "severity", "confidence", "id", F.col("name").alias("symbol"), "file", "line", "matched_calls", "owasp", "cwe")
+
+
+def scan(symbols: DataFrame, sources: DataFrame | None = None, category: str | None = None, severity: str | None = None, k: int = 100, rule_rows: DataFrame | None = None) -> DataFrame:
+    """The worst k findings of the rules over symbols, by severity, file, line and rule."""
+    found = findings(symbols, sources, category, severity, rule_rows)
+    return found.orderBy("rank", "file", "line", "rule_id").limit(k).drop("rank")
+
+
+def by_severity(found: DataFrame) -> DataFrame:
+    """(severity, n) of findings, worst first: a partial count, one row a severity."""
+    n = found.groupBy("rank", "severity").agg(F.count("*").alias("n"))
+    return n.orderBy("rank", "severity").drop("rank")
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("rule_id", T.StringType()), T.StructField("line", T.IntegerType())])))
@@ -155,20 +167,40 @@ def scan_modules(contents: DataFrame) -> DataFrame:
 
 def taint_pairs(call_edges: DataFrame, sources: DataFrame, sinks: DataFrame, depth: int = 10, cap: int = 20) -> DataFrame:
     """(source, sink, depth) of sinks (id) that a source (id, ord) reaches by calls, by source order and sink id; at most cap."""
-    got = graph.reach(call_edges, sources.select(F.col("id").alias("root"), F.col("id").alias("node")), depth, inclusive=True)
-    hit = got.join(small(sinks.select(F.col("id").alias("node")).distinct()), "node").join(small(sources.select(F.col("id").alias("root"), "ord")), "root")
+    hit = _reached(call_edges, sources, sinks, depth)
     return hit.orderBy("ord", "node").limit(cap).select(F.col("root").alias("source"), F.col("node").alias("sink"), "depth")
 
 
+def _reached(call_edges: DataFrame, sources: DataFrame, sinks: DataFrame, depth: int) -> DataFrame:
+    got = graph.reach(call_edges, sources.select(F.col("id").alias("root"), F.col("id").alias("node")), depth, inclusive=True)
+    return got.join(small(sinks.select(F.col("id").alias("node")).distinct()), "node").join(small(sources.select(F.col("id").alias("root"), "ord")), "root")
+
+
 #: Calls that bring in outside data, unless the caller names others (fixed values).
 SOURCE_CALLS = "input readline read recv recvfrom getenv".split()
 
 
+#: What the paths do not show.
+LIMITATIONS = ["paths are calls from function to function, arguments are not followed", "sources and findings are known by the bare names of the functions called", "a path does not prove that outside data takes it"]
+
+
+def taint_ends(symbols: DataFrame, source_calls: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Symbols that take in outside data (id, ord), and all symbols with a finding of high severity (id)."""
+    starts = symbols.where(F.arrays_overlap("calls", F.array(*[F.lit(c) for c in source_calls or SOURCE_CALLS]))).select("id", "ord")
+    return starts, findings(symbols, severity="high").select("id").distinct()
+
+
+def taint_summary(symbols: DataFrame, call_edges: DataFrame, source_calls: list[str] | None = None, depth: int = 10, cap: int = 20) -> DataFrame:
+    """One row: sources_found, sinks_found, paths_found (all pairs), paths_returned, truncated, limitations."""
+    starts, sinks = taint_ends(symbols, source_calls)
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    row = n(starts, "sources_found").crossJoin(n(sinks, "sinks_found")).crossJoin(n(_reached(call_edges, starts, sinks, depth), "paths_found"))  # one row each
+    return row.select("*", F.least("paths_found", F.lit(cap)).alias("paths_returned"), (F.col("paths_found") > cap).alias("truncated"), F.array(*[F.lit(x) for x in LIMITATIONS]).alias("limitations"))
+
+
 def trace_taint(symbols: DataFrame, call_edges: DataFrame, source_calls: list[str] | None = None, depth: int = 10, cap: int = 20) -> DataFrame:
     """(source, sink, depth, path): symbols that take in outside data and the high-severity findings they reach, one path each."""
-    findings = scan(symbols, severity="high", k=500)
-    sinks = findings.select("id").distinct()
-    starts = symbols.where(F.arrays_overlap("calls", F.array(*[F.lit(c) for c in source_calls or SOURCE_CALLS]))).select("id", "ord")
+    starts, sinks = taint_ends(symbols, source_calls)
     pairs = taint_pairs(call_edges, starts, sinks, depth, cap)
     out = None
     for r in pairs.collect():  # at most `cap` rows

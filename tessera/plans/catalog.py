@@ -222,7 +222,7 @@ UNION ALL SELECT 'callee', s.id, s.name, s.file, s.line FROM s WHERE id IN (SELE
 """)
 def symbol_context(spark, d):
     s = adapter.symbols(spark, d).withColumn("parent", F.col("language"))
-    out = outline.context(s.withColumn("parent", F.hash("parent").cast("long") - (1 << 40)), 7, adapter.call_edges(spark, d))
+    out = outline.context(s.withColumn("parent", F.hash("parent").cast("long") - (1 << 40)), 7, adapter.call_edges(spark, d).withColumn("rel", F.lit("calls")))
     return out.select("role", "id", "name", "file", "line")
 
 

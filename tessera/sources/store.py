@@ -18,11 +18,27 @@ TABLES = {"symbols": schemas.SYMBOLS, "files": schemas.FILES, "contents": schema
 NAME = re.compile(r"[A-Za-z0-9_\-.]{1,100}")
 
 
+def guarded(folder: str) -> str:
+    """folder, if an index may be kept there: an absolute path or an address; a local one that exists must belong to this user
+    and not be open to writing by all. Raises ValueError."""
+    scheme, _, rest = folder.partition(":")
+    path = rest if scheme == "file" else folder
+    if scheme != "file" and re.match(r"[A-Za-z][A-Za-z0-9+.-]+:/", folder):
+        return folder  # another file system judges by its own rights
+    if not os.path.isabs(path):
+        raise ValueError("the warehouse is an absolute path")
+    if os.path.exists(path):
+        at = os.stat(path)
+        if at.st_uid != os.getuid() or at.st_mode & 0o002:
+            raise ValueError("the warehouse belongs to another user or all may write to it")
+    return folder
+
+
 class Store:
     """Reads and writes one warehouse folder. Writers of a repository take turns by a lock file."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.spark, self.folder = spark, guarded(folder).rstrip("/")
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
