@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, map_arrow, mix, slices, small, span_hashes, table, words_of
 
-#: Up to this many benchmark windows go to the executors, which then send on only windows that can join.
+#: Up to this many benchmark windows go to the executors, which then send on only windows that can join; results don't
+#: depend on it.
 FILTER_WINDOWS = 1_000_000
 UNITS = "mm cm dm m km in ft yd mi mg g kg t lb lbs oz ml cl l s sec ms min h hr hrs day days week weeks month months year years second seconds minute minutes hour hours meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet inch inches yard yards gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres percent dollar dollars euro euros cent cents usd eur gbp km/h mph hz khz mhz ghz kb mb gb tb kwh w kw mw v a pa kpa bar k".split()
 
@@ -88,8 +89,11 @@ def windows(tok: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, n
     return h, enough
 
 
-def _emit(size: int, lengths: list[int], known: np.ndarray | None, ids: list[str]):
-    """Windows as rows: the id columns, w (hash), pos (token index), n (tokens), slots (value hashes, 0 for literals)."""
+def _emit(size: int, lengths: list[int], known: np.ndarray | None, ids: list[str], whole: bool = False):
+    """Windows as rows: the id columns, w (hash), pos (token index), n (tokens), slots (value hashes, 0 for literals).
+
+    whole: windows shorter than `size` are those of texts of as many tokens only.
+    """
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -106,7 +110,7 @@ def _emit(size: int, lengths: list[int], known: np.ndarray | None, ids: list[str
                         continue
                     inside = of[: len(h)] == of[w - 1 :]
                     ok = inside.copy()
-                    if w != size and known is None:
+                    if w != size and whole:
                         ok &= count[of[: len(h)]] == w
                     if known is not None:
                         ok &= known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
@@ -174,7 +178,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: fl
     d_type, i_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", F.col("text"))
     shape = "w long, pos long, n long, slots binary"
-    item_w = cut(map_arrow(items, _emit(size, list(range(3, size + 1)), None, ["item_id"]), f"item_id {i_type}, {shape}").dropDuplicates())
+    item_w = cut(map_arrow(items, _emit(size, list(range(3, size + 1)), None, ["item_id"], whole=True), f"item_id {i_type}, {shape}").dropDuplicates())
     n, known = item_w.count(), None
     if n <= FILTER_WINDOWS:
         known = np.sort(np.array([r[0] for r in item_w.select("w").distinct().collect()], np.int64).view(np.uint64))

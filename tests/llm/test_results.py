@@ -239,6 +239,15 @@ def test_decontamination_of_slot_dense_items(spark):
     assert {(x["doc_id"], x["item_id"], x["coverage"], x["changed"]) for x in got} == {(11, 1, 1.0, 0), (12, 2, 1.0, 0), (13, 3, 1.0, 0)}
 
 
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_decontamination_finds_short_items_in_longer_texts_however_large_the_benchmark(spark, monkeypatch, most):
+    monkeypatch.setattr(decontam, "FILTER_WINDOWS", most)
+    docs = spark.createDataFrame([(1, "they asked who discovered penicillin again in class today"), (2, "Name the smallest prime"), (3, "it was nobody at all")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "who discovered penicillin"), (2, "Name the smallest prime."), (3, "the boiling point of water at sea level")], "item_id long, text string")
+    found = decontam.contaminated(docs, items).select("doc_id", "item_id", "coverage").collect()
+    assert sorted(tuple(r) for r in found) == [(1, 1, 1.0), (2, 2, 1.0)]
+
+
 def test_license_scan(spark):
     mit = license_scan.TEXTS[0][3]
     rows = [(1, "MIT LICENSE\n\nCopyright (c) 2020 A. Person\n\n" + mit.upper()), (2, "text\nReleased under the MIT Licence.\nmore"), (3, "MIT stands here"), (4, "Copyright 2020 me"), (5, None)]
