@@ -40,6 +40,14 @@ def test_stage_drops_near_copies(spark, sf_dir):
     assert sorted(i for i in ids if i is not None) == [*range(40), 102, 103, 104, 106] and 100 not in ids and 101 not in ids
 
 
+def test_short_items_are_found_however_large_the_benchmark(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "they asked who discovered penicillin again in class"), (2, "a clean text of several words")], "doc_id long, text string")
+    spark.createDataFrame([(1, "who discovered penicillin"), (2, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(c.decontam, "FILTER_WINDOWS", most)
+        assert [r["doc_id"] for r in c.benchmark(spark, docs, str(tmp_path)).collect()] == [2]
+
+
 def test_run_equals_stages(spark, sf_dir):
     once = {(r["doc_id"], r["mix_taken"]) for r in c.run(spark, sf_dir).collect()}
     assert once == {(r["doc_id"], r["mix_taken"]) for r in c.run(spark, sf_dir).collect()} and once
