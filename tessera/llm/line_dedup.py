@@ -11,7 +11,8 @@
    by exact Jaccard similarity of the whole shingle sets (shingles at every position) and joined by union-find.
 4. Any two lines of a bucket that these links leave in different parts are verified too: lines that are connected by
    buckets form a cluster, clusters of several parts are cut into blocks, every two blocks meet once in a row, and the
-   lines in it that share a bucket are compared there, each line's set being made once. A cluster of more than WHOLE
+   lines in it that share a bucket are compared there, each line's set being made once in a block. Only buckets with
+   lines of several parts count, and only their lines are sent. A cluster of more than WHOLE
    lines is not compared as one; its buckets are, one by one, and a pair counts in the least bucket that it shares.
 5. Distributed union-find over all links; of each component the first line (by doc_id, then position) stays.
 
@@ -59,8 +60,12 @@ def _hashed(shingles: Column) -> Column:
 
 def _set(norm: Column) -> Column:
     """Distinct shingle hashes of a line; one shorter than a shingle is its own only shingle."""
-    every = F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return _hashed(F.when(F.length(norm) < SHINGLE, F.array(norm)).otherwise(every))
+    wide = 4 * SHINGLE  # with four bytes a character no shingle is searched for
+
+    def every(b: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.octet_length(b) - (wide - 1), F.lit(4)), lambda i: F.xxhash64(F.substring(b, i, F.lit(wide))))
+
+    return F.array_distinct(F.when(F.length(norm) < SHINGLE, F.array(F.xxhash64(norm))).otherwise(_bind(F.encode(norm, "UTF-32"), every)))
 
 
 def _bands(hashes: Column) -> Column:
@@ -93,11 +98,15 @@ def signatures(docs: DataFrame) -> DataFrame:
     return out.withColumn("keys", keys).drop("starts")
 
 
+def _may(x: Column, y: Column, percent: int) -> Column:
+    """Whether the sizes of two shingle sets let them be alike."""
+    return 100 * F.least(F.size(x), F.size(y)) >= percent * F.greatest(F.size(x), F.size(y))
+
+
 def _near(x: Column, y: Column, percent: int) -> Column:
     """Whether two shingle sets are alike; sizes decide first."""
     sx, sy = F.size(x), F.size(y)
-    may = 100 * F.least(sx, sy) >= percent * F.greatest(sx, sy)
-    return F.when(may, (100 + percent) * F.size(F.array_intersect(x, y)) >= percent * (sx + sy)).otherwise(False)
+    return F.when(_may(x, y, percent), (100 + percent) * F.size(F.array_intersect(x, y)) >= percent * (sx + sy)).otherwise(False)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -108,42 +117,50 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return cut(tested.where(_bind(sets, lambda z: _near(z["a"], z["b"], percent))).select("a", "b"))
 
 
-def _links(unit: Column, by_key: Column, a: Column, b: Column, same: Column, percent: int) -> Column:
-    """Links between the lines (lid, part, keys, norm) of two blocks of a unit that are of different parts and share a
-    bucket, which is the unit's own where units are buckets (by_key)."""
+def _links(unit: Column, by_key: Column, a: Column, b: Column, percent: int) -> Column:
+    """Links between the lines (lid, part, keys, norm) of two blocks of a unit, or of one (b null), that are of different
+    parts and share a bucket, which is the unit's own where units are buckets (by_key)."""
 
     def sets(block: Column) -> Column:
         return F.transform(block, lambda line: F.struct(line["lid"].alias("lid"), line["part"].alias("part"), line["keys"].alias("keys"), _set(line["norm"]).alias("set")))
 
     def test(x: Column, y: Column) -> Column:
-        open_ = (x["part"] != y["part"]) & ((x["lid"] < y["lid"]) | ~same) & F.arrays_overlap(x["keys"], y["keys"])
+        open_ = (x["part"] != y["part"]) & _may(x["set"], y["set"], percent) & F.arrays_overlap(x["keys"], y["keys"])
         here = F.when(by_key, F.array_min(F.array_intersect(x["keys"], y["keys"])) == unit).otherwise(True)
         return F.when(open_, F.when(here, _near(x["set"], y["set"], percent))).otherwise(False)
 
     def pairs(z: Column) -> Column:
-        return F.flatten(F.transform(z["a"], lambda x: F.transform(F.filter(z["b"], lambda y: test(x, y)), lambda y: F.struct(x["lid"].alias("a"), y["lid"].alias("b")))))
+        others = lambda i: F.coalesce(z["b"], F.slice(z["a"], i + 2, F.size(z["a"])))
+        return F.flatten(F.transform(z["a"], lambda x, i: F.transform(F.filter(others(i), lambda y: test(x, y)), lambda y: F.struct(x["lid"].alias("a"), y["lid"].alias("b")))))
 
     return _bind(F.struct(sets(a).alias("a"), sets(b).alias("b")), pairs)
 
 
+def _open(members: DataFrame, cluster: DataFrame, part: DataFrame) -> DataFrame:
+    """(key, lid, comp, part, n): the lines of the buckets that hold several parts (a line without one is its own), with
+    the bucket's number of lines. Of two lines the one pair has been tested."""
+    of = cluster.join(part, "lid", "left").withColumn("part", F.coalesce("part", "lid"))
+    several = [F.count("*").alias("n"), F.min("part").alias("p0"), F.max("part").alias("p1")]
+    size = of.groupBy("comp").agg(*several).where("n > 2 and p0 < p1")
+    held = members.join(cut(of.join(size.select("comp"), "comp")), "lid")
+    return held.join(held.groupBy("key").agg(*several).where("n > 2 and p0 < p1").select("key", "n"), "key").select("key", "lid", "comp", "part", "n")
+
+
 def _apart(members: DataFrame, cluster: DataFrame, part: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between lines of different parts (lid, part; a line without one is its own) that share a bucket."""
-    of = cluster.join(part, "lid", "left").withColumn("part", F.coalesce("part", "lid"))
-    # of two lines the one pair has been tested
-    size = of.groupBy("comp").agg(F.count("*").alias("n"), F.min("part").alias("p0"), F.max("part").alias("p1")).where("n > 2 and p0 < p1")
-    of = cut(of.join(size.select("comp", "n"), "comp"))
-    large = members.join(of.where(f"n > {WHOLE}").select("lid", "part"), "lid")
-    bucket = large.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("p0"), F.max("part").alias("p1")).where("n > 2 and p0 < p1")
-    large = large.join(bucket.select("key", "n"), "key").select(F.col("key").alias("unit"), F.lit(True).alias("by_key"), "lid", "part", "n")
-    lines = of.where(f"n <= {WHOLE}").select(F.col("comp").alias("unit"), F.lit(False).alias("by_key"), "lid", "part", "n").union(large)
+    held = cut(_open(members, cluster, part))
+    line = cut(held.groupBy("lid", "comp", "part").agg(F.collect_list("key").alias("keys")))
+    line = line.join(line.groupBy("comp").agg(F.count("*").alias("size")), "comp")
+    large = held.join(line.where(f"size > {WHOLE}").select("lid", "keys"), "lid").select(F.col("key").alias("unit"), F.lit(True).alias("by_key"), "lid", "part", "keys", "n")
+    lines = line.where(f"size <= {WHOLE}").select(F.col("comp").alias("unit"), F.lit(False).alias("by_key"), "lid", "part", "keys", F.col("size").alias("n")).union(large)
     block = F.pmod(F.xxhash64("lid"), F.ceil(F.col("n") / BLOCK)).cast("int")
     lines = lines.join(texts, "lid").groupBy("unit", "by_key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), block.alias("block"))
     packed = cut(lines.agg(F.collect_list(F.struct("lid", "part", "keys", "norm")).alias("lines")))
     meet = packed.select("unit", "by_key", F.col("block").alias("lo"), F.col("lines").alias("a"), F.explode_outer(F.sequence("block", F.col("blocks") - 1)).alias("hi"))
-    alone = meet.where("lo = hi").withColumn("b", F.col("a")).select("unit", "by_key", "lo", "hi", "a", "b")
     other = packed.select("unit", "by_key", F.col("block").alias("hi"), F.col("lines").alias("b"))
+    alone = meet.where("lo = hi").withColumn("b", F.lit(None).cast(packed.schema["lines"].dataType)).select("unit", "by_key", "lo", "hi", "a", "b")
     meet = alone.union(meet.where("lo < hi").join(other, ["unit", "by_key", "hi"]).select("unit", "by_key", "lo", "hi", "a", "b"))
-    found = meet.repartition("unit", "lo", "hi").select(F.explode_outer(_links(F.col("unit"), F.col("by_key"), F.col("a"), F.col("b"), F.col("lo") == F.col("hi"), percent)).alias("e"))
+    found = meet.repartition("unit", "lo", "hi").select(F.explode_outer(_links(F.col("unit"), F.col("by_key"), F.col("a"), F.col("b"), percent)).alias("e"))
     return cut(found.where("e is not null").select("e.a", "e.b"))
 
 
@@ -151,14 +168,17 @@ def line_components(docs: DataFrame, percent: int = 80, lines: DataFrame | None
     """(node, comp) of the distinct lines (ids) of docs that have a near line: exact Jaccard of character shingles >=
     percent/100. lines: signatures(docs), where they are at hand."""
     lines = cut(signatures(docs)) if lines is None else lines
-    spread = lines.select("lid", F.explode("keys").alias("key"))
-    lead = cut(spread.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).where("lo < hi").select("key", "lo"))
-    members = cut(spread.join(small(lead, ROWS_SENT), "key").distinct())
+    members = None
+    for half in ("key < 0", "key >= 0"):  # one after the other, their shuffle files take half the disk
+        spread = lines.select("lid", F.explode("keys").alias("key")).where(half)
+        lead = cut(spread.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).where("lo < hi").select("key", "lo"))
+        found = cut(spread.join(small(lead, ROWS_SENT), "key").distinct())
+        members = members.union(found) if members else found
     pairs = cut(members.where("lid <> lo").select(F.col("lo").alias("a"), F.col("lid").alias("b")).distinct())
     cluster = cut(components(pairs).select(F.col("node").alias("lid"), "comp"))
-    texts = lines.select("lid", "norm", "keys").join(small(cluster.select("lid"), ROWS_SENT), "lid")
-    texts = cut(texts.groupBy("lid").agg(F.first("norm").alias("norm"), F.first("keys").alias("keys")))
-    sure = _verified(pairs, texts.select("lid", "norm"), percent)
+    texts = lines.select("lid", "norm").join(small(cluster.select("lid"), ROWS_SENT), "lid")
+    texts = cut(texts.groupBy("lid").agg(F.first("norm").alias("norm")))
+    sure = _verified(pairs, texts, percent)
     part = components(sure).select(F.col("node").alias("lid"), F.col("comp").alias("part"))
     return components(sure.union(_apart(members.select("key", "lid"), cluster, part, texts, percent)))
 

@@ -116,6 +116,33 @@ def test_line_dedup_finds_near_lines_among_strangers(spark):
     assert [(x, y) for x, y in meet if comp.get(ids[x], 0) != comp.get(ids[y], 1)] == []
 
 
+def test_line_dedup_compares_only_lines_of_open_buckets(spark):
+    members = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (2, 10), (2, 11), (3, 10), (3, 12), (3, 13), (4, 20), (4, 21), (4, 22)], "key long, lid long")
+    cluster = spark.createDataFrame([*[(i, 10) for i in (10, 11, 12, 13)], *[(i, 20) for i in (20, 21, 22)]], "lid long, comp long")
+    part = spark.createDataFrame([(10, 10), (11, 10), (12, 10), *[(i, 20) for i in (20, 21, 22)]], "lid long, part long")
+    # bucket 1 is of one part, 2 of two lines, 4 of a settled cluster; in 3 line 13 is still apart
+    got = line_dedup._open(members, cluster, part).collect()
+    assert sorted(tuple(r) for r in got) == [(3, 10, 10, 10, 3), (3, 12, 10, 10, 3), (3, 13, 10, 13, 3)]
+
+
+def test_line_dedup_shingles_are_of_code_points(spark):
+    texts = ["short", "12345678", "\U0001f600 na\u00efve caf\u00e9 stra\u00dfe \u6f22\u5b57", "aaaaaaaaaaaaaaaaaaaa", "\u00e9" * 9]
+    rows = spark.createDataFrame([(t,) for t in texts], "norm string").select("norm", F.size(line_dedup._set(F.col("norm"))).alias("n")).collect()
+    assert {r["norm"]: r["n"] for r in rows} == {t: len({t[i : i + 8] for i in range(max(1, len(t) - 7))}) for t in texts}
+
+
+@pytest.mark.parametrize("block, whole", [(256, 4096), (2, 4096), (2, 2)])
+def test_line_dedup_blocks_and_buckets_find_the_same(spark, monkeypatch, block, whole):
+    r = random.Random(8)
+    base = [_words(r, 40) for _ in range(8)]
+    lines = [b[:i] + "~" + b[i + 1 :] for b in base for i in (3, 11, 19, 27)] + ["the same beginning of it all " + _words(r, 3) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    want = {(x["node"], x["comp"]) for x in line_dedup.line_components(docs).collect()}
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    monkeypatch.setattr(line_dedup, "WHOLE", whole)
+    assert {(x["node"], x["comp"]) for x in line_dedup.line_components(docs).collect()} == want and len(want) >= 20
+
+
 def test_top_k_equals_brute_force():
     rng = np.random.default_rng(4)
     x = rng.integers(-60, 60, (3000, 16))
