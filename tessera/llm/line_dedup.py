@@ -50,14 +50,11 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _bind(value: Column, f) -> Column:
-    """f(value), with the value computed once (as the only element of an array) however often f uses it."""
+    """f(value), with the value computed once (as the only element of an array) however often f uses it. Spark interprets
+    what f and value do: sorts and set operations on arrays are several times faster in a column of their own."""
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def _hashed(shingles: Column) -> Column:
-    return F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s)))
-
-
 def _set(norm: Column) -> Column:
     """Distinct shingle hashes of a line; one shorter than a shingle is its own only shingle."""
     wide = 4 * SHINGLE  # with four bytes a character no shingle is searched for
@@ -69,7 +66,7 @@ def _set(norm: Column) -> Column:
 
 
 def _bands(hashes: Column) -> Column:
-    """Keys of the runs of three of a set's least hashes."""
+    """Keys of the runs of three of a set's least hashes, which are given in order."""
 
     def of(z: Column) -> Column:
         at = lambda j: F.get(z["w"], j)
@@ -85,17 +82,18 @@ def _bands(hashes: Column) -> Column:
         thin = F.when(n <= KEPT, 1).otherwise(3).cast("long")
         return F.struct(F.slice(h, 1, KEPT).alias("w"), F.least(n, F.lit(KEPT)).alias("n"), thin.alias("thin"), (n <= RING).alias("ring"))
 
-    return _bind(_bind(F.sort_array(hashes), shape), of)
+    return _bind(_bind(hashes, shape), of)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     """The lines of docs: doc, ord, pos, lid, norm and keys, the line's bands."""
-    starts = _hashed(F.regexp_extract_all("norm", F.lit(rf"(?s)(?=(.{{1,{SHINGLE}}}))[^ \t]*[ \t]*"), F.lit(1)))
-    out = _lines(docs).withColumn("starts", starts)
-    few, many = F.size("starts") < EVERY, F.size("starts") >= STARTS
+    starts = F.regexp_extract_all("norm", F.lit(rf"(?s)(?=(.{{1,{SHINGLE}}}))[^ \t]*[ \t]*"), F.lit(1))
+    out = _lines(docs).withColumn("starts", F.sort_array(F.array_distinct(F.transform(starts, lambda x: F.xxhash64(x)))))
+    out = out.withColumn("every", F.when(F.size("starts") < EVERY, F.sort_array(_set(F.col("norm")))))
     none = F.array().cast("array<long>")
-    keys = F.concat(F.when(many, _bands(F.col("starts"))).otherwise(none), F.when(few, _bands(_set(F.col("norm")))).otherwise(none))
-    return out.withColumn("keys", keys).drop("starts")
+    many, few = F.size("starts") >= STARTS, F.col("every").isNotNull()
+    keys = F.concat(F.when(many, _bands(F.col("starts"))).otherwise(none), F.when(few, _bands(F.col("every"))).otherwise(none))
+    return out.withColumn("keys", keys).drop("starts", "every")
 
 
 def _may(x: Column, y: Column, percent: int) -> Column:
@@ -103,37 +101,37 @@ def _may(x: Column, y: Column, percent: int) -> Column:
     return 100 * F.least(F.size(x), F.size(y)) >= percent * F.greatest(F.size(x), F.size(y))
 
 
-def _near(x: Column, y: Column, percent: int) -> Column:
-    """Whether two shingle sets are alike; sizes decide first."""
-    sx, sy = F.size(x), F.size(y)
-    return F.when(_may(x, y, percent), (100 + percent) * F.size(F.array_intersect(x, y)) >= percent * (sx + sy)).otherwise(False)
+def _alike(df: DataFrame, x: Column, y: Column, percent: int) -> DataFrame:
+    """The rows of df (a, b, more) whose shingle sets x and y are alike, as (a, b); sizes decide first.
+
+    The test stands in a generator: as a filter it would be pushed down to where the sets are made, once for each use.
+    """
+    near = _may(x, y, percent) & ((100 + percent) * F.size(F.array_intersect(x, y)) >= percent * (F.size(x) + F.size(y)))
+    return df.select("a", "b", F.explode_outer(F.when(near, F.array(F.lit(1)))).alias("near")).where("near = 1").select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose lines (lid, norm) are alike."""
     side = lambda c: texts.select(F.col("lid").alias(c), F.col("norm").alias(f"norm_{c}"))
     tested = pairs.join(side("b"), "b").join(side("a"), "a").repartition("a", "b")
-    sets = F.struct(_set(F.col("norm_a")).alias("a"), _set(F.col("norm_b")).alias("b"))
-    return cut(tested.where(_bind(sets, lambda z: _near(z["a"], z["b"], percent))).select("a", "b"))
+    sets = tested.select("a", "b", _set(F.col("norm_a")).alias("x"), _set(F.col("norm_b")).alias("y"))
+    return cut(_alike(sets, F.col("x"), F.col("y"), percent))
 
 
-def _links(unit: Column, by_key: Column, a: Column, b: Column, percent: int) -> Column:
-    """Links between the lines (lid, part, keys, norm) of two blocks of a unit, or of one (b null), that are of different
-    parts and share a bucket, which is the unit's own where units are buckets (by_key)."""
+def _links(meet: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the lines (lid, part, keys, norm) of two blocks of a unit (a, b), or of one (b null), that are of
+    different parts and share a bucket, which is the unit's own where units are buckets (by_key)."""
 
-    def sets(block: Column) -> Column:
+    def sets(block: str) -> Column:
         return F.transform(block, lambda line: F.struct(line["lid"].alias("lid"), line["part"].alias("part"), line["keys"].alias("keys"), _set(line["norm"]).alias("set")))
 
-    def test(x: Column, y: Column) -> Column:
-        open_ = (x["part"] != y["part"]) & _may(x["set"], y["set"], percent) & F.arrays_overlap(x["keys"], y["keys"])
-        here = F.when(by_key, F.array_min(F.array_intersect(x["keys"], y["keys"])) == unit).otherwise(True)
-        return F.when(open_, F.when(here, _near(x["set"], y["set"], percent))).otherwise(False)
-
-    def pairs(z: Column) -> Column:
-        others = lambda i: F.coalesce(z["b"], F.slice(z["a"], i + 2, F.size(z["a"])))
-        return F.flatten(F.transform(z["a"], lambda x, i: F.transform(F.filter(others(i), lambda y: test(x, y)), lambda y: F.struct(x["lid"].alias("a"), y["lid"].alias("b")))))
-
-    return _bind(F.struct(sets(a).alias("a"), sets(b).alias("b")), pairs)
+    made = meet.select("unit", "by_key", sets("a").alias("a"), sets("b").alias("b"))
+    made = made.select("unit", "by_key", F.col("b").isNull().alias("own"), "a", F.coalesce("b", "a").alias("b"))
+    each = made.select("unit", "by_key", "own", "b", F.explode_outer("a").alias("x")).select("unit", "by_key", "own", "x", F.explode_outer("b").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    once = (~F.col("own") | (x["lid"] < y["lid"])) & (x["part"] != y["part"]) & _may(x["set"], y["set"], percent) & F.arrays_overlap(x["keys"], y["keys"])
+    here = ~F.col("by_key") | (F.array_min(F.array_intersect(x["keys"], y["keys"])) == F.col("unit"))
+    return _alike(each.where(once & here).select(x["lid"].alias("a"), y["lid"].alias("b"), "x", "y"), x["set"], y["set"], percent)
 
 
 def _open(members: DataFrame, cluster: DataFrame, part: DataFrame) -> DataFrame:
@@ -160,8 +158,7 @@ def _apart(members: DataFrame, cluster: DataFrame, part: DataFrame, texts: DataF
     other = packed.select("unit", "by_key", F.col("block").alias("hi"), F.col("lines").alias("b"))
     alone = meet.where("lo = hi").withColumn("b", F.lit(None).cast(packed.schema["lines"].dataType)).select("unit", "by_key", "lo", "hi", "a", "b")
     meet = alone.union(meet.where("lo < hi").join(other, ["unit", "by_key", "hi"]).select("unit", "by_key", "lo", "hi", "a", "b"))
-    found = meet.repartition("unit", "lo", "hi").select(F.explode_outer(_links(F.col("unit"), F.col("by_key"), F.col("a"), F.col("b"), percent)).alias("e"))
-    return cut(found.where("e is not null").select("e.a", "e.b"))
+    return cut(_links(meet.repartition("unit", "lo", "hi"), percent))
 
 
 def line_components(docs: DataFrame, percent: int = 80, lines: DataFrame | None = None) -> DataFrame:
@@ -207,10 +204,10 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     r = free_name(docs, "row")
     row = docs.select(F.struct("*").alias(r), F.when(F.col("text") != "", F.xxhash64("doc_id", "text")).alias("doc")).join(small(drop, ROWS_SENT) if light else drop, "doc", "left")
     whole = F.col(f"{r}.text")
-    parts = F.split(whole, "\n")
     n = F.coalesce(F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone")
-    text = F.when(F.col("gone").isNull(), whole).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
+    stay = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone")
+    left = _bind(F.split(whole, "\n"), lambda parts: F.array_join(F.transform(stay(parts), lambda i: F.get(parts, i)), "\n"))
+    text = F.when(F.col("gone").isNull(), whole).otherwise(left)
     made = F.struct(text.alias("text"), n.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
     # the result before the star: an expanded column would take the place of one of the same name here
     name = free_name(docs, "lines")

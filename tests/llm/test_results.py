@@ -143,6 +143,30 @@ def test_line_dedup_blocks_and_buckets_find_the_same(spark, monkeypatch, block,
     assert {(x["node"], x["comp"]) for x in line_dedup.line_components(docs).collect()} == want and len(want) >= 20
 
 
+def test_line_dedup_splits_a_text_once(spark):
+    """Not once more for each line that stays: a text of many lines would cost the square of its length."""
+    text = "\n".join(["the same line again"] * 3 + [f"line number {i * i} of {i}" for i in range(5)])
+    out = line_dedup.dedup_lines(spark.createDataFrame([(1, text), (2, "a\nthe same line again")], "doc_id long, text string"))
+    assert {r["doc_id"]: (r["lines"]["text"], r["lines"]["n_dropped"]) for r in out.collect()} == {1: (text.replace("the same line again\n", "", 2), 2), 2: ("a", 1)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_line_dedup_makes_a_set_once_for_each_side(spark):
+    r = random.Random(21)
+    base = [_words(r, n) for n in (3, 9, 20, 60)]
+    lines = [x[:i] + "~" * k + x[i + k :] for x in base for i in (5, 12) for k in (0, 1, 2, 4, 9)] + ["", "short"]
+    grams = _sets_of(lines)
+    texts = spark.createDataFrame(list(enumerate(lines)), "lid long, norm string")
+    pairs = texts.select(F.col("lid").alias("a")).crossJoin(texts.select(F.col("lid").alias("b"))).where("a < b")
+    near = lambda x, y: 100 * len(grams[x] & grams[y]) >= 80 * len(grams[x] | grams[y])
+    want = {(a, b) for a in range(len(lines)) for b in range(a) if near(lines[a], lines[b])}
+    found = line_dedup._verified(pairs, texts, 80)
+    assert {(x["b"], x["a"]) for x in found.collect()} == want and 0 < len(want) < pairs.count()
+    sets = texts.select(F.col("lid").alias("a"), F.col("lid").alias("b"), line_dedup._set(F.col("norm")).alias("x"), line_dedup._set(F.lower("norm")).alias("y"))
+    plan = line_dedup._alike(sets, F.col("x"), F.col("y"), 80)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("encode.encode") == 2
+
+
 def test_top_k_equals_brute_force():
     rng = np.random.default_rng(4)
     x = rng.integers(-60, 60, (3000, 16))
