@@ -9,10 +9,12 @@
    ring, where sets of similarity 0.8 share one by counting.
 3. A band that several lines share is a bucket. Each of its lines is paired with the least one; the pairs are verified
    by exact Jaccard similarity of the whole shingle sets (shingles at every position) and joined by union-find.
-4. Any two lines of a bucket that these links leave in different parts are verified too: lines that are connected by
+4. Any two lines of a bucket that these links leave in different parts are compared too: lines that are connected by
    buckets form a cluster, clusters of several parts are cut into blocks, every two blocks meet once in a row, and the
-   lines in it that share a bucket are compared there, each line's set being made once in a block. Only buckets with
-   lines of several parts count, and only their lines are sent. A cluster of more than WHOLE
+   lines in it that share a bucket are compared there by size and by bitmaps of their sets, each made once. Where two
+   bitmaps differ in more bits than sets that are alike may have shingles apart, the pair is done with. Of the
+   others the likeliest of each line are verified first, by whole sets, then those that are still in different parts.
+   Only buckets with lines of several parts count, and only their lines are sent. A cluster of more than WHOLE
    lines is not compared as one; its buckets are, one by one, and a pair counts in the least bucket that it shares.
 5. Distributed union-find over all links; of each component the first line (by doc_id, then position) stays.
 
@@ -30,6 +32,8 @@ from tessera.llm.common import components, cut, free_name, remove, small, table,
 SHINGLE, KEPT, RING, BLOCK, WHOLE = 8, 48, 24, 256, 4096
 #: Lines with at least STARTS shingles at word starts are signed by these, lines with fewer than EVERY by all shingles.
 STARTS, EVERY = 14, 24
+#: Longs of a line's bitmap (a power of two, 64 at most), and pairs of a line that are tested before the others.
+WORDS, NEAREST = 32, 8
 ROWS_SENT = 1_000_000
 WHITE = " \t\r\n\x0b\x0c"
 
@@ -118,20 +122,51 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return cut(_alike(sets, F.col("x"), F.col("y"), percent))
 
 
-def _links(meet: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the lines (lid, part, keys, norm) of two blocks of a unit (a, b), or of one (b null), that are of
-    different parts and share a bucket, which is the unit's own where units are buckets (by_key)."""
+def _sketched(texts: DataFrame) -> DataFrame:
+    """(lid, size, w0, w1, ...) of lines (lid, norm): how many shingles a line's set has, and a bitmap of WORDS longs of them."""
+    h, one = F.col("h"), F.lit(1).cast("long")
+    bit = F.call_function("shiftleft", one, F.shiftrightunsigned("h", 16).bitwiseAND(F.lit(63)).cast("int"))
+    words = [F.coalesce(F.bit_or(F.when(h.bitwiseAND(F.lit(WORDS - 1)) == i, bit)), F.lit(0).cast("long")).alias(f"w{i}") for i in range(WORDS)]
+    return texts.select("lid", F.explode(_set(F.col("norm"))).alias("h")).groupBy("lid").agg(F.count("*").alias("size"), *words)
 
-    def sets(block: str) -> Column:
-        return F.transform(block, lambda line: F.struct(line["lid"].alias("lid"), line["part"].alias("part"), line["keys"].alias("keys"), _set(line["norm"]).alias("set")))
 
-    made = meet.select("unit", "by_key", sets("a").alias("a"), sets("b").alias("b"))
-    made = made.select("unit", "by_key", F.col("b").isNull().alias("own"), "a", F.coalesce("b", "a").alias("b"))
-    each = made.select("unit", "by_key", "own", "b", F.explode_outer("a").alias("x")).select("unit", "by_key", "own", "x", F.explode_outer("b").alias("y"))
+def _differ(x: Column, y: Column, words: int = WORDS) -> Column:
+    """Bits in which the bitmaps of two lines differ: never more than the shingles that only one of their sets has."""
+    out = F.lit(0)
+    for i in range(words):  # plain fields: read from an array, they make a method of over 8,000 bytes, which Java doesn't compile
+        out = out + F.bit_count(x[f"w{i}"].bitwiseXOR(y[f"w{i}"]))
+    return out
+
+
+def _candidates(meet: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, off) of lines (lid, part, keys, size, bitmap) of two blocks of a unit (a, b), or of one (b null), that are of
+    different parts, share a bucket, which is the unit's own where units are buckets (by_key), and can be alike by
+    their sizes and bitmaps; off tells how far apart they seem by a quarter of the bits (all would make too long a method)."""
+    each = meet.select("unit", "by_key", F.col("b").isNull().alias("own"), F.coalesce("b", "a").alias("b"), F.explode("a").alias("x")).select("unit", "by_key", "own", "x", F.explode("b").alias("y"))
     x, y = F.col("x"), F.col("y")
-    once = (~F.col("own") | (x["lid"] < y["lid"])) & (x["part"] != y["part"]) & _may(x["set"], y["set"], percent) & F.arrays_overlap(x["keys"], y["keys"])
+    both = x["size"] + y["size"]
+    each = each.where((~F.col("own") | (x["lid"] < y["lid"])) & (x["part"] != y["part"]) & (100 * F.least(x["size"], y["size"]) >= percent * F.greatest(x["size"], y["size"])))
+    each = each.where((100 + percent) * _differ(x, y) <= (100 - percent) * both)
     here = ~F.col("by_key") | (F.array_min(F.array_intersect(x["keys"], y["keys"])) == F.col("unit"))
-    return _alike(each.where(once & here).select(x["lid"].alias("a"), y["lid"].alias("b"), "x", "y"), x["set"], y["set"], percent)
+    each = each.where(F.arrays_overlap(x["keys"], y["keys"]) & here)
+    return each.select(F.least(x["lid"], y["lid"]).alias("a"), F.greatest(x["lid"], y["lid"]).alias("b"), (_differ(x, y, WORDS // 4) / both).alias("off"))
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b, off), for each line the one of least off in each of NEAREST groups of the others."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("lid"), F.col("b").alias("other")), F.struct(F.col("b").alias("lid"), F.col("a").alias("other")))).alias("e"), "off", "a", "b")
+    group = F.pmod(F.xxhash64("e.other"), F.lit(NEAREST))
+    return ends.groupBy("e.lid", group.alias("group")).agg(F.min(F.struct("off", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _between(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the pairs (a, b, off): the likeliest are tested first, then all whose lines these leave apart."""
+    sure = _verified(cut(_likeliest(pairs)), texts, percent)
+    part = cut(components(sure))
+    side = lambda c: part.select(F.col("node").alias(c), F.col("comp").alias(f"part_{c}"))
+    rest = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    apart = F.coalesce("part_a", "a") != F.coalesce("part_b", "b")
+    return sure.union(_verified(cut(rest.where(apart).select("a", "b").distinct()), texts, percent))
 
 
 def _open(members: DataFrame, cluster: DataFrame, part: DataFrame) -> DataFrame:
@@ -148,17 +183,18 @@ def _apart(members: DataFrame, cluster: DataFrame, part: DataFrame, texts: DataF
     """Links (a, b) between lines of different parts (lid, part; a line without one is its own) that share a bucket."""
     held = cut(_open(members, cluster, part))
     line = cut(held.groupBy("lid", "comp", "part").agg(F.collect_list("key").alias("keys")))
-    line = line.join(line.groupBy("comp").agg(F.count("*").alias("size")), "comp")
-    large = held.join(line.where(f"size > {WHOLE}").select("lid", "keys"), "lid").select(F.col("key").alias("unit"), F.lit(True).alias("by_key"), "lid", "part", "keys", "n")
-    lines = line.where(f"size <= {WHOLE}").select(F.col("comp").alias("unit"), F.lit(False).alias("by_key"), "lid", "part", "keys", F.col("size").alias("n")).union(large)
+    line = line.join(line.groupBy("comp").agg(F.count("*").alias("lines")), "comp")
+    large = held.join(line.where(f"lines > {WHOLE}").select("lid", "keys"), "lid").select(F.col("key").alias("unit"), F.lit(True).alias("by_key"), "lid", "part", "keys", "n")
+    lines = line.where(f"lines <= {WHOLE}").select(F.col("comp").alias("unit"), F.lit(False).alias("by_key"), "lid", "part", "keys", F.col("lines").alias("n")).union(large)
     block = F.pmod(F.xxhash64("lid"), F.ceil(F.col("n") / BLOCK)).cast("int")
-    lines = lines.join(texts, "lid").groupBy("unit", "by_key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), block.alias("block"))
-    packed = cut(lines.agg(F.collect_list(F.struct("lid", "part", "keys", "norm")).alias("lines")))
+    own = cut(texts.join(line.select("lid"), "lid"))
+    lines = lines.join(cut(_sketched(own)), "lid").groupBy("unit", "by_key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), block.alias("block"))
+    packed = cut(lines.agg(F.collect_list(F.struct("lid", "part", "keys", "size", *(f"w{i}" for i in range(WORDS)))).alias("lines")))
     meet = packed.select("unit", "by_key", F.col("block").alias("lo"), F.col("lines").alias("a"), F.explode_outer(F.sequence("block", F.col("blocks") - 1)).alias("hi"))
     other = packed.select("unit", "by_key", F.col("block").alias("hi"), F.col("lines").alias("b"))
     alone = meet.where("lo = hi").withColumn("b", F.lit(None).cast(packed.schema["lines"].dataType)).select("unit", "by_key", "lo", "hi", "a", "b")
     meet = alone.union(meet.where("lo < hi").join(other, ["unit", "by_key", "hi"]).select("unit", "by_key", "lo", "hi", "a", "b"))
-    return cut(_links(meet.repartition("unit", "lo", "hi"), percent))
+    return _between(cut(_candidates(meet.repartition("unit", "lo", "hi"), percent)), own, percent)
 
 
 def line_components(docs: DataFrame, percent: int = 80, lines: DataFrame | None = None) -> DataFrame:

@@ -143,6 +143,40 @@ def test_line_dedup_blocks_and_buckets_find_the_same(spark, monkeypatch, block,
     assert {(x["node"], x["comp"]) for x in line_dedup.line_components(docs).collect()} == want and len(want) >= 20
 
 
+def test_line_dedup_verifies_few_pairs_of_a_large_group(spark, monkeypatch):
+    """Copies of one line, many of them less alike than 0.8: no link is lost, and whole sets meet for few of the pairs."""
+    r = random.Random(31)
+    base = _words(r, 60).split(" ")
+    lines = {" ".join(base)}
+    while len(lines) < 160:
+        x = list(base)
+        for i in r.sample(range(60), r.randint(2, 7)):
+            x[i] = "".join(r.choice("klmnop") for _ in range(6))
+        lines.add(" ".join(x))
+    lines = sorted(lines)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = line_dedup.signatures(docs).select("norm", "lid", "keys").collect()
+    ids, keys = {x["norm"]: x["lid"] for x in found}, {x["norm"]: set(x["keys"]) for x in found}
+    grams, tested, alike = _sets_of(lines), [], line_dedup._alike
+    meet = [(x, y) for x in lines for y in lines if x < y and keys[x] & keys[y]]
+    near = [(x, y) for x, y in meet if 100 * len(grams[x] & grams[y]) >= 80 * len(grams[x] | grams[y])]
+    monkeypatch.setattr(line_dedup, "_alike", lambda df, *rest: tested.append(df.count()) or alike(df, *rest))
+    comp = {x["node"]: x["comp"] for x in line_dedup.line_components(docs).collect()}
+    assert [(x, y) for x, y in near if comp.get(ids[x], 0) != comp.get(ids[y], 1)] == []
+    parent = {x: x for x in lines}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in near:
+        parent[find(x)] = find(y)
+    assert len(set(comp.values())) == len({find(x) for x, y in near}) and len(comp) == len({x for p in near for x in p})
+    n = [len(near), len(meet), sum(tested)]
+    assert n[0] > 80 and n[1] > 4000 and n[2] < n[1] / 4, n
+
+
 def test_line_dedup_splits_a_text_once(spark):
     """Not once more for each line that stays: a text of many lines would cost the square of its length."""
     text = "\n".join(["the same line again"] * 3 + [f"line number {i * i} of {i}" for i in range(5)])
