@@ -9,13 +9,14 @@
    ring, where sets of similarity 0.8 share one by counting.
 3. A band that several lines share is a bucket. Each of its lines is paired with the least one; the pairs are verified
    by exact Jaccard similarity of the whole shingle sets (shingles at every position) and joined by union-find.
-4. Any two lines of a bucket that these links leave in different parts are compared too: lines that are connected by
-   buckets form a cluster, clusters of several parts are cut into blocks, every two blocks meet once in a row, and the
-   lines in it that share a bucket are compared there by size and by bitmaps of their sets, each made once. Where two
-   bitmaps differ in more bits than sets that are alike may have shingles apart, the pair is done with. Of the
-   others the likeliest of each line are verified first, by whole sets, then those that are still in different parts.
-   Only buckets with lines of several parts count, and only their lines are sent. A cluster of more than WHOLE
-   lines is not compared as one; its buckets are, one by one, and a pair counts in the least bucket that it shares.
+4. Any two lines that these links leave in different parts are compared too: lines that are connected by buckets form
+   a cluster, and of one of several parts the lines of buckets with several parts count. In a cluster of up to WHOLE
+   lines every two blocks of lines meet in a row, by size and by bitmaps of their sets: where these differ in more bits
+   than sets that are alike may have shingles apart, the pair is done with. In a larger one lines meet by rare shingles:
+   if the shingles are put in one order, rare ones first, two sets that are alike share one among the first of both,
+   at a place that leaves enough for the rest (prefix and position filter, exact). Shingles that the same lines hold
+   are one. Lines next to each other by size are linked before, so fewer parts are left to meet.
+   Of the pairs the likeliest of each line are verified first, by whole sets, then those still in different parts.
 5. Distributed union-find over all links; of each component the first line (by doc_id, then position) stays.
 
 Lines are written to the shared folder once, with their bands, and each step reads the columns that it needs. What
@@ -24,12 +25,12 @@ joins them is broadcast if a count shows at most ROWS_SENT rows, and shuffled ot
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import components, cut, free_name, remove, small, table, written
 
-SHINGLE, KEPT, RING, BLOCK, WHOLE = 8, 48, 24, 256, 4096
+SHINGLE, KEPT, RING, BLOCK, WHOLE = 8, 48, 24, 256, 512
 #: Lines with at least STARTS shingles at word starts are signed by these, lines with fewer than EVERY by all shingles.
 STARTS, EVERY = 14, 24
 #: Longs of a line's bitmap (a power of two, 64 at most), and pairs of a line that are tested before the others.
@@ -139,19 +140,64 @@ def _differ(x: Column, y: Column, words: int = WORDS) -> Column:
 
 
 def _candidates(meet: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, off) of lines (lid, part, keys, size, bitmap) of two blocks of a unit (a, b), or of one (b null), that are of
-    different parts, share a bucket, which is the unit's own where units are buckets (by_key), and can be alike by
-    their sizes and bitmaps; off tells how far apart they seem by a quarter of the bits (all would make too long a method)."""
-    each = meet.select("unit", "by_key", F.col("b").isNull().alias("own"), F.coalesce("b", "a").alias("b"), F.explode("a").alias("x")).select("unit", "by_key", "own", "x", F.explode("b").alias("y"))
+    """Pairs (a, b, off) of lines (lid, part, size, bitmap) of two blocks of a cluster (a, b), or of one (b null), that are of
+    different parts and can be alike by their sizes and bitmaps; off tells how far apart they seem by a quarter of the
+    bits (all would make too long a method)."""
+    each = meet.select(F.col("b").isNull().alias("own"), F.coalesce("b", "a").alias("b"), F.explode("a").alias("x")).select("own", "x", F.explode("b").alias("y"))
     x, y = F.col("x"), F.col("y")
     both = x["size"] + y["size"]
     each = each.where((~F.col("own") | (x["lid"] < y["lid"])) & (x["part"] != y["part"]) & (100 * F.least(x["size"], y["size"]) >= percent * F.greatest(x["size"], y["size"])))
     each = each.where((100 + percent) * _differ(x, y) <= (100 - percent) * both)
-    here = ~F.col("by_key") | (F.array_min(F.array_intersect(x["keys"], y["keys"])) == F.col("unit"))
-    each = each.where(F.arrays_overlap(x["keys"], y["keys"]) & here)
     return each.select(F.least(x["lid"], y["lid"]).alias("a"), F.greatest(x["lid"], y["lid"]).alias("b"), (_differ(x, y, WORDS // 4) / both).alias("off"))
 
 
+def _prefixes(lines: DataFrame, percent: int) -> DataFrame:
+    """(atom, lid, part, size, before, w): the first atoms of lines (lid, comp, part, norm), to a (1 - percent/100)th of the set.
+
+    Shingles that the same lines of a cluster hold are one atom of weight w. A line's shingles are in order: those of its
+    part alone first, which no other part can share, then atoms from rare to frequent; before is how many stand before it.
+    """
+    shingles = lines.select("lid", "comp", "part", F.explode(_set(F.col("norm"))).alias("h")).select("lid", "part", F.xxhash64("comp", "h").alias("h"))
+    held, each = Window.partitionBy("h"), Window.partitionBy("lid")
+    shingles = shingles.select("lid", F.count("*").over(held).alias("n"), F.bit_xor(F.xxhash64("lid")).over(held).alias("who"), (F.min("part").over(held) < F.max("part").over(held)).alias("shared"))
+    atoms = shingles.groupBy("lid", "shared", F.when(F.col("shared"), F.col("n")).alias("n"), F.when(F.col("shared"), F.xxhash64("n", "who")).alias("atom")).agg(F.count("*").alias("w"))
+    order = each.orderBy("shared", "n", "atom").rowsBetween(Window.unboundedPreceding, -1)
+    atoms = atoms.select("atom", "lid", "shared", "w", F.sum("w").over(each).alias("size"), F.coalesce(F.sum("w").over(order), F.lit(0)).alias("before"))
+    first = F.col("shared") & (100 * (F.col("size") - F.col("before")) >= percent * F.col("size"))
+    return atoms.where(first).drop("shared").join(lines.select("lid", "part"), "lid").select("atom", "lid", "part", "size", "before", "w")
+
+
+def _enough(x: Column, y: Column, left_x: Column, left_y: Column, percent: int) -> Column:
+    """Whether lines of x and y shingles, with these left from the first common one on, can still be alike."""
+    return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & ((100 + percent) * F.least(left_x, left_y) >= percent * (x + y))
+
+
+def _neighbours(first: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, off) of lines of different parts that are next to each other by size among the lines of an atom."""
+    ago = lambda c: F.lag(c).over(Window.partitionBy("atom").orderBy("size", "lid")).alias(f"{c}_")
+    near = first.select("*", *(ago(c) for c in ("lid", "part", "size", "before")))
+    near = near.where((F.col("part") != F.col("part_")) & _enough(F.col("size"), F.col("size_"), F.col("size") - F.col("before"), F.col("size_") - F.col("before_"), percent))
+    return near.groupBy(F.least("lid", "lid_").alias("a"), F.greatest("lid", "lid_").alias("b")).agg((-F.sum(F.col("w") / (F.col("size") + F.col("size_")))).alias("off"))
+
+
+def _sharing(first: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b, off) of lines of different parts that can be alike by an atom of both beginnings.
+
+    The first atom that two lines share has all their common shingles from there on. So the smaller line has it among its
+    first (100 - percent)/(100 + percent)th, the larger one where the sizes of the smaller, by classes, leave it enough.
+    """
+    step, n = 1.06, F.col("size")
+    kind = lambda size: F.floor(F.log(size.cast("double")) / F.log(F.lit(step))).cast("int")
+    fewest = F.ceil(percent * n / 100)
+    low = first.where((100 + percent) * (n - F.col("before")) >= 2 * percent * n).select("atom", kind(n).alias("kind"), "w", *(F.col(c).alias(f"{c}_") for c in ("lid", "part", "size", "before")))
+    high = first.select("atom", F.explode(F.sequence(kind(fewest), kind(n))).alias("kind"), "lid", "part", "size", "before")
+    least = F.greatest(fewest, F.floor(F.pow(F.lit(step), F.col("kind")) * (1 - 1e-9)))
+    high = high.where((100 + percent) * (n - F.col("before")) >= percent * (n + least))
+    smaller = (F.col("size_") < n) | ((F.col("size_") == n) & (F.col("lid_") < F.col("lid")))
+    met = low.join(high, ["atom", "kind"]).where(smaller & (F.col("part") != F.col("part_")) & _enough(n, F.col("size_"), n - F.col("before"), F.col("size_") - F.col("before_"), percent))
+    return met.groupBy(F.least("lid", "lid_").alias("a"), F.greatest("lid", "lid_").alias("b")).agg((-F.sum(F.col("w") / (n + F.col("size_")))).alias("off"))
+
+
 def _likeliest(pairs: DataFrame) -> DataFrame:
     """Of the pairs (a, b, off), for each line the one of least off in each of NEAREST groups of the others."""
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("lid"), F.col("b").alias("other")), F.struct(F.col("b").alias("lid"), F.col("a").alias("other")))).alias("e"), "off", "a", "b")
@@ -179,22 +225,32 @@ def _open(members: DataFrame, cluster: DataFrame, part: DataFrame) -> DataFrame:
     return held.join(held.groupBy("key").agg(*several).where("n > 2 and p0 < p1").select("key", "n"), "key").select("key", "lid", "comp", "part", "n")
 
 
+def _blocks(lines: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, off) among the lines (lid, comp, part, norm, lines) of a cluster, every two blocks of which meet in a row."""
+    blocks = F.ceil(F.col("lines") / BLOCK).cast("int")
+    at = lines.join(cut(_sketched(lines.select("lid", "norm"))), "lid").groupBy("comp", blocks.alias("blocks"), F.pmod(F.xxhash64("lid"), blocks).cast("int").alias("block"))
+    packed = cut(at.agg(F.collect_list(F.struct("lid", "part", "size", *(f"w{i}" for i in range(WORDS)))).alias("lines")))
+    meet = packed.select("comp", F.col("block").alias("lo"), F.col("lines").alias("a"), F.explode_outer(F.sequence("block", F.col("blocks") - 1)).alias("hi"))
+    other = packed.select("comp", F.col("block").alias("hi"), F.col("lines").alias("b"))
+    alone = meet.where("lo = hi").withColumn("b", F.lit(None).cast(packed.schema["lines"].dataType)).select("comp", "lo", "hi", "a", "b")
+    meet = alone.union(meet.where("lo < hi").join(other, ["comp", "hi"]).select("comp", "lo", "hi", "a", "b"))
+    return _candidates(meet.repartition("comp", "lo", "hi"), percent)
+
+
 def _apart(members: DataFrame, cluster: DataFrame, part: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between lines of different parts (lid, part; a line without one is its own) that share a bucket."""
-    held = cut(_open(members, cluster, part))
-    line = cut(held.groupBy("lid", "comp", "part").agg(F.collect_list("key").alias("keys")))
-    line = line.join(line.groupBy("comp").agg(F.count("*").alias("lines")), "comp")
-    large = held.join(line.where(f"lines > {WHOLE}").select("lid", "keys"), "lid").select(F.col("key").alias("unit"), F.lit(True).alias("by_key"), "lid", "part", "keys", "n")
-    lines = line.where(f"lines <= {WHOLE}").select(F.col("comp").alias("unit"), F.lit(False).alias("by_key"), "lid", "part", "keys", F.col("lines").alias("n")).union(large)
-    block = F.pmod(F.xxhash64("lid"), F.ceil(F.col("n") / BLOCK)).cast("int")
-    own = cut(texts.join(line.select("lid"), "lid"))
-    lines = lines.join(cut(_sketched(own)), "lid").groupBy("unit", "by_key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), block.alias("block"))
-    packed = cut(lines.agg(F.collect_list(F.struct("lid", "part", "keys", "size", *(f"w{i}" for i in range(WORDS)))).alias("lines")))
-    meet = packed.select("unit", "by_key", F.col("block").alias("lo"), F.col("lines").alias("a"), F.explode_outer(F.sequence("block", F.col("blocks") - 1)).alias("hi"))
-    other = packed.select("unit", "by_key", F.col("block").alias("hi"), F.col("lines").alias("b"))
-    alone = meet.where("lo = hi").withColumn("b", F.lit(None).cast(packed.schema["lines"].dataType)).select("unit", "by_key", "lo", "hi", "a", "b")
-    meet = alone.union(meet.where("lo < hi").join(other, ["unit", "by_key", "hi"]).select("unit", "by_key", "lo", "hi", "a", "b"))
-    return _between(cut(_candidates(meet.repartition("unit", "lo", "hi"), percent)), own, percent)
+    """Links (a, b) between lines of different parts (lid, part; a line without one is its own) of a cluster, of those in
+    buckets of several parts."""
+    line = cut(_open(members, cluster, part).select("lid", "comp", "part").distinct())
+    own = cut(texts.join(line.join(line.groupBy("comp").agg(F.count("*").alias("lines")), "comp"), "lid"))
+    pairs = _blocks(own.where(f"lines <= {WHOLE}"), percent)
+    large = own.where(f"lines > {WHOLE}")
+    if not large.limit(1).count():
+        return _between(cut(pairs), own, percent)
+    first = cut(_prefixes(large, percent))
+    sure = _verified(cut(_likeliest(_neighbours(first, percent))), own, percent)
+    joined = cut(components(sure.union(large.select(F.col("part").alias("a"), F.col("lid").alias("b")))))
+    first = first.drop("part").join(joined.withColumnRenamed("node", "lid"), "lid", "left").withColumn("part", F.coalesce("comp", "lid"))
+    return sure.union(_between(cut(pairs.union(_sharing(cut(first), percent))), own, percent))
 
 
 def line_components(docs: DataFrame, percent: int = 80, lines: DataFrame | None = None) -> DataFrame:

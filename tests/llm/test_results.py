@@ -177,6 +177,22 @@ def test_line_dedup_verifies_few_pairs_of_a_large_group(spark, monkeypatch):
     assert n[0] > 80 and n[1] > 4000 and n[2] < n[1] / 4, n
 
 
+def test_line_dedup_large_group_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Lines around one passage, unlike otherwise, with near copies of some: few pairs meet, and no near one is lost."""
+    r = random.Random(41)
+    passage = _words(r, 30)
+    lines = [f"{_words(r, 8)} {passage} {_words(r, 8)}" for _ in range(640)]
+    near = [(x, x[:9] + "~~~" + x[12:]) for x in lines[::16]]
+    docs = spark.createDataFrame(list(enumerate(lines + [y for _, y in near])), "doc_id long, text string")
+    met, tested, candidates, between = [], [], line_dedup._candidates, line_dedup._between
+    monkeypatch.setattr(line_dedup, "_candidates", lambda meet, *rest: met.append(meet.agg(F.sum(F.size("a") * F.size(F.coalesce("b", "a")))).first()[0] or 0) or candidates(meet, *rest))
+    monkeypatch.setattr(line_dedup, "_between", lambda pairs, *rest: tested.append(pairs.count()) or between(pairs, *rest))
+    ids = {x["norm"]: x["lid"] for x in line_dedup.signatures(docs).select("norm", "lid").collect()}
+    comp = {x["node"]: x["comp"] for x in line_dedup.line_components(docs).collect()}
+    assert all(comp.get(ids[x], 0) == comp.get(ids[y], 1) for x, y in near) and len(comp) < 200
+    assert sum(met) + sum(tested) < 10 * len(lines), (met, tested)
+
+
 def test_line_dedup_splits_a_text_once(spark):
     """Not once more for each line that stays: a text of many lines would cost the square of its length."""
     text = "\n".join(["the same line again"] * 3 + [f"line number {i * i} of {i}" for i in range(5)])
