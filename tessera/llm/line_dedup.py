@@ -33,8 +33,9 @@ from tessera.llm.common import components, cut, free_name, remove, small, table,
 SHINGLE, KEPT, RING, BLOCK, WHOLE = 8, 48, 24, 256, 512
 #: Lines with at least STARTS shingles at word starts are signed by these, lines with fewer than EVERY by all shingles.
 STARTS, EVERY = 14, 24
-#: Longs of a line's bitmap (a power of two, 64 at most), and pairs of a line that are tested before the others.
-WORDS, NEAREST = 32, 8
+#: Longs of a line's bitmap (a power of two, 64 at most), pairs of a line that are tested before the others, and lines of a
+#: shingle that a line is paired with beforehand.
+WORDS, NEAREST, NEXT = 32, 8, 6
 ROWS_SENT = 1_000_000
 WHITE = " \t\r\n\x0b\x0c"
 
@@ -173,11 +174,12 @@ def _enough(x: Column, y: Column, left_x: Column, left_y: Column, percent: int)
 
 
 def _neighbours(first: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, off) of lines of different parts that are next to each other by size among the lines of an atom."""
-    ago = lambda c: F.lag(c).over(Window.partitionBy("atom").orderBy("size", "lid")).alias(f"{c}_")
-    near = first.select("*", *(ago(c) for c in ("lid", "part", "size", "before")))
-    near = near.where((F.col("part") != F.col("part_")) & _enough(F.col("size"), F.col("size_"), F.col("size") - F.col("before"), F.col("size_") - F.col("before_"), percent))
-    return near.groupBy(F.least("lid", "lid_").alias("a"), F.greatest("lid", "lid_").alias("b")).agg((-F.sum(F.col("w") / (F.col("size") + F.col("size_")))).alias("off"))
+    """Pairs (a, b, off) of lines of different parts that are among the NEXT nearest by size of the lines of an atom."""
+    by = Window.partitionBy("atom").orderBy("size", "lid")
+    line = F.struct("lid", "part", "size", "before")
+    near = first.select("*", F.array(*(F.lag(line, i).over(by) for i in range(1, NEXT + 1))).alias("others")).select("*", F.explode("others").alias("o"))
+    near = near.where((F.col("part") != F.col("o.part")) & _enough(F.col("size"), F.col("o.size"), F.col("size") - F.col("before"), F.col("o.size") - F.col("o.before"), percent))
+    return near.groupBy(F.least("lid", "o.lid").alias("a"), F.greatest("lid", "o.lid").alias("b")).agg((-F.sum(F.col("w") / (F.col("size") + F.col("o.size")))).alias("off"))
 
 
 def _sharing(first: DataFrame, percent: int) -> DataFrame:
