@@ -9,10 +9,12 @@
    ring, where sets of similarity 0.8 share one by counting.
 3. A band that several lines share is a bucket. Each of its lines is paired with the least one; the pairs are verified
    by exact Jaccard similarity of the whole shingle sets (shingles at every position) and joined by union-find.
-4. Any two lines that these links leave in different parts are compared too: lines that are connected by buckets form
-   a cluster, and of one of several parts the lines of buckets with several parts count. In a cluster of up to WHOLE
+4. Any two lines of a bucket that these links leave in different parts are compared too. In a bucket of up to WHOLE
    lines every two blocks of lines meet in a row, by size and by bitmaps of their sets: where these differ in more bits
-   than sets that are alike may have shingles apart, the pair is done with. In a larger one lines meet by rare shingles:
+   than sets that are alike may have shingles apart, the pair is done with. A larger bucket, which grows with the table
+   if it stands for a few common shingles, is parted by bands of a second signature, of other hashes of all shingles; of
+   what it is parted into, up to WHOLE lines meet in the same way. Where more stay together (lines that have much in
+   common, if less than 0.8), lines meet by rare shingles:
    if the shingles are put in one order, rare ones first, two sets that are alike share one among the first of both,
    at a place that leaves enough for the rest (prefix and position filter, exact). Shingles that the same lines hold
    are one. Lines next to each other by size are linked before, so fewer parts are left to meet.
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import components, cut, free_name, remove, small, table, written
 
-SHINGLE, KEPT, RING, BLOCK, WHOLE = 8, 48, 24, 256, 512
+SHINGLE, KEPT, RING, BLOCK, WHOLE = 8, 48, 24, 256, 64
 #: Lines with at least STARTS shingles at word starts are signed by these, lines with fewer than EVERY by all shingles.
 STARTS, EVERY = 14, 24
 #: Longs of a line's bitmap (a power of two, 64 at most), pairs of a line that are tested before the others, and lines of a
@@ -71,8 +73,9 @@ def _set(norm: Column) -> Column:
     return F.array_distinct(F.when(F.length(norm) < SHINGLE, F.array(F.xxhash64(norm))).otherwise(_bind(F.encode(norm, "UTF-32"), every)))
 
 
-def _bands(hashes: Column) -> Column:
-    """Keys of the runs of three of a set's least hashes, which are given in order."""
+def _bands(hashes: Column, mask: int = 3) -> Column:
+    """Keys of the runs of three of a set's least hashes, which are given in order; of over KEPT hashes those runs whose
+    first one has no bit of the mask."""
 
     def of(z: Column) -> Column:
         at = lambda j: F.get(z["w"], j)
@@ -85,7 +88,7 @@ def _bands(hashes: Column) -> Column:
 
     def shape(h: Column) -> Column:
         n = F.size(h)
-        thin = F.when(n <= KEPT, 1).otherwise(3).cast("long")
+        thin = F.when(n <= KEPT, 1).otherwise(mask).cast("long")
         return F.struct(F.slice(h, 1, KEPT).alias("w"), F.least(n, F.lit(KEPT)).alias("n"), thin.alias("thin"), (n <= RING).alias("ring"))
 
     return _bind(_bind(hashes, shape), of)
@@ -227,32 +230,59 @@ def _open(members: DataFrame, cluster: DataFrame, part: DataFrame) -> DataFrame:
     return held.join(held.groupBy("key").agg(*several).where("n > 2 and p0 < p1").select("key", "n"), "key").select("key", "lid", "comp", "part", "n")
 
 
-def _blocks(lines: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, off) among the lines (lid, comp, part, norm, lines) of a cluster, every two blocks of which meet in a row."""
-    blocks = F.ceil(F.col("lines") / BLOCK).cast("int")
-    at = lines.join(cut(_sketched(lines.select("lid", "norm"))), "lid").groupBy("comp", blocks.alias("blocks"), F.pmod(F.xxhash64("lid"), blocks).cast("int").alias("block"))
+def _blocks(lines: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, off) among the lines (key, lid, part, n) of a bucket, every two blocks of which meet in a row."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    sketch = cut(_sketched(texts.join(lines.select("lid").distinct(), "lid")))
+    at = lines.join(sketch, "lid").groupBy("key", blocks.alias("blocks"), F.pmod(F.xxhash64("lid"), blocks).cast("int").alias("block"))
     packed = cut(at.agg(F.collect_list(F.struct("lid", "part", "size", *(f"w{i}" for i in range(WORDS)))).alias("lines")))
-    meet = packed.select("comp", F.col("block").alias("lo"), F.col("lines").alias("a"), F.explode_outer(F.sequence("block", F.col("blocks") - 1)).alias("hi"))
-    other = packed.select("comp", F.col("block").alias("hi"), F.col("lines").alias("b"))
-    alone = meet.where("lo = hi").withColumn("b", F.lit(None).cast(packed.schema["lines"].dataType)).select("comp", "lo", "hi", "a", "b")
-    meet = alone.union(meet.where("lo < hi").join(other, ["comp", "hi"]).select("comp", "lo", "hi", "a", "b"))
-    return _candidates(meet.repartition("comp", "lo", "hi"), percent)
+    meet = packed.select("key", F.col("block").alias("lo"), F.col("lines").alias("a"), F.explode_outer(F.sequence("block", F.col("blocks") - 1)).alias("hi"))
+    other = packed.select("key", F.col("block").alias("hi"), F.col("lines").alias("b"))
+    alone = meet.where("lo = hi").withColumn("b", F.lit(None).cast(packed.schema["lines"].dataType)).select("key", "lo", "hi", "a", "b")
+    meet = alone.union(meet.where("lo < hi").join(other, ["key", "hi"]).select("key", "lo", "hi", "a", "b"))
+    return _candidates(meet.repartition("key", "lo", "hi"), percent).groupBy("a", "b").agg(F.min("off").alias("off"))
+
+
+def _parted(many: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, lid, part, n) of the lines (key, lid, part) of large buckets, parted by a second signature; those alone or with
+    lines of their part only are left out."""
+    second = F.sort_array(F.transform(_set(F.col("norm")), lambda x: F.xxhash64(x, F.lit(1))))
+    again = texts.join(many.select("lid").distinct(), "lid").select("lid", second.alias("second")).select("lid", F.explode(_bands(F.col("second"), 1)).alias("band"))
+    again, out = cut(again.distinct()), None
+    for half in ("band < 0", "band >= 0"):
+        rows = many.join(again.where(half), "lid").select(F.xxhash64("key", "band").alias("key"), "lid", "part")
+        size = cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 < p1").select("key", "n"))
+        found = cut(rows.join(small(size, ROWS_SENT), "key").select("key", "lid", "part", "n"))
+        out = out.union(found) if out else found
+    return out
+
+
+def _once(held: DataFrame) -> DataFrame:
+    """The rows of held (key, lid, part, n) without buckets of the same lines as another."""
+    same = held.groupBy("key", "n").agg(F.bit_xor(F.xxhash64("lid")).alias("x"), F.sum(F.shiftright("lid", 16)).alias("s"))
+    return held.join(same.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
 
 
 def _apart(members: DataFrame, cluster: DataFrame, part: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between lines of different parts (lid, part; a line without one is its own) of a cluster, of those in
-    buckets of several parts."""
-    line = cut(_open(members, cluster, part).select("lid", "comp", "part").distinct())
-    own = cut(texts.join(line.join(line.groupBy("comp").agg(F.count("*").alias("lines")), "comp"), "lid"))
-    pairs = _blocks(own.where(f"lines <= {WHOLE}"), percent)
-    large = own.where(f"lines > {WHOLE}")
+    """Links (a, b) between lines of different parts (lid, part; a line without one is its own) of a bucket."""
+    held = cut(_once(cut(_open(members, cluster, part).select("key", "lid", "part", "n"))))
+    own = cut(texts.join(held.select("lid").distinct(), "lid"))
+    few, many = held.where(f"n <= {WHOLE}"), held.where(f"n > {WHOLE}")
+    if not many.limit(1).count():
+        return _between(cut(_blocks(few, own, percent)), own, percent)
+    parted = _parted(many, own)
+    large = cut(own.join(parted.where(f"n > {WHOLE}").select("lid", "part").distinct(), "lid").withColumn("comp", F.lit(0)))
+    few = few.union(_once(parted.where(f"n <= {WHOLE}")))
+    # lines of `large` all meet by rare shingles: buckets of these alone need not be looked at again
+    few = few.join(few.join(large, "lid", "left_anti").select("key").distinct(), "key", "left_semi")
+    pairs = cut(_blocks(cut(few), own, percent))
     if not large.limit(1).count():
-        return _between(cut(pairs), own, percent)
+        return _between(pairs, own, percent)
     first = cut(_prefixes(large, percent))
     sure = _verified(cut(_likeliest(_neighbours(first, percent))), own, percent)
     joined = cut(components(sure.union(large.select(F.col("part").alias("a"), F.col("lid").alias("b")))))
     first = first.drop("part").join(joined.withColumnRenamed("node", "lid"), "lid", "left").withColumn("part", F.coalesce("comp", "lid"))
-    return sure.union(_between(cut(pairs.union(_sharing(cut(first), percent))), own, percent))
+    return sure.union(_between(cut(pairs.union(_sharing(cut(first), percent)).groupBy("a", "b").agg(F.min("off").alias("off"))), own, percent))
 
 
 def line_components(docs: DataFrame, percent: int = 80, lines: DataFrame | None = None) -> DataFrame:

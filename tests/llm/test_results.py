@@ -125,6 +125,19 @@ def test_line_dedup_compares_only_lines_of_open_buckets(spark):
     assert sorted(tuple(r) for r in got) == [(3, 10, 10, 10, 3), (3, 12, 10, 10, 3), (3, 13, 10, 13, 3)]
 
 
+def test_line_dedup_buckets_in_a_chain_are_compared_one_by_one(spark, monkeypatch):
+    """Small buckets that hang together by single lines are no large group, however many they are."""
+    r = random.Random(51)
+    lines = [_words(r, 30) for _ in range(600)]
+    lines[301] = lines[300][:20] + "~" + lines[300][21:]
+    texts = spark.createDataFrame(list(enumerate(lines)), "lid long, norm string")
+    members = spark.createDataFrame([(i, j) for i in range(598) for j in (i, i + 1, i + 2)], "key long, lid long")
+    cluster = spark.createDataFrame([(i, 0) for i in range(600)], "lid long, comp long")
+    part = spark.createDataFrame([], "lid long, part long")
+    monkeypatch.setattr(line_dedup, "_prefixes", lambda *rest: pytest.fail("the chain is taken for one group"))
+    assert {(x["a"], x["b"]) for x in line_dedup._apart(members, cluster, part, texts, 80).collect()} == {(300, 301)}
+
+
 def test_line_dedup_shingles_are_of_code_points(spark):
     texts = ["short", "12345678", "\U0001f600 na\u00efve caf\u00e9 stra\u00dfe \u6f22\u5b57", "aaaaaaaaaaaaaaaaaaaa", "\u00e9" * 9]
     rows = spark.createDataFrame([(t,) for t in texts], "norm string").select("norm", F.size(line_dedup._set(F.col("norm"))).alias("n")).collect()
