@@ -71,7 +71,8 @@ def limited(calls: DataFrame, limit: int = PER_TOOL, overall: int = GLOBAL, wind
     """calls (tool_name, ts, call_id) of a table with `allowed`, in time order.
 
     A pause longer than the window makes what follows independent of what came before: calls are cut into stretches at
-    such pauses (found among the distinct window-long slots that hold a call), and bundles of stretches run apart.
+    such pauses (found among the distinct window-long slots that hold a call), and bundles of stretches run apart. A
+    bundle passes through Python batch by batch in time order, with the calls let through within the window as the state.
     """
     slot = F.floor(F.unix_micros("ts") / F.lit(int(window * 1e6)))
     rows = calls.select("tool_name", "ts", "call_id", slot.alias("slot"))
@@ -80,12 +81,21 @@ def limited(calls: DataFrame, limit: int = PER_TOOL, overall: int = GLOBAL, wind
     slots = slots.select("slot", (F.sum("count").over(order) - F.col("count")).alias("before"), F.coalesce(F.sum(F.coalesce("new", F.lit(0))).over(order), F.lit(0)).alias("stretch"))
     slots = slots.select(F.col("slot").alias("at"), F.floor(F.min("before").over(Window.partitionBy("stretch")) / BUNDLE).alias("bundle"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _in_order(pdf)
-        pdf["allowed"] = admit(_events(pdf), [], limit, overall, window)[0]
-        return pdf[["tool_name", "ts", "call_id", "allowed"]]
-
-    return rows.join(slots, F.col("slot").eqNullSafe(F.col("at"))).select("tool_name", "ts", "call_id", "bundle").groupBy("bundle").applyInPandas(run, ALLOWED)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken, bundle = [], None  # all that is kept from batch to batch
+        for pdf in batches:
+            allowed = []
+            for at, some in pdf.groupby("bundle", sort=False):  # a partition has one bundle after the other
+                taken = taken if at == bundle else []
+                passed, taken = admit(zip(some["tool_name"], (some["micros"] / 1e6).tolist()), taken, limit, overall, window)
+                allowed, bundle = allowed + passed, at
+            pdf["allowed"] = allowed
+            yield pdf[["tool_name", "micros", "call_id", "allowed"]]
+
+    timed = rows.where("ts is not null").join(slots, F.col("slot") == F.col("at")).select("tool_name", F.unix_micros("ts").alias("micros"), "call_id", "bundle")
+    timed = timed.repartition("bundle").sortWithinPartitions("bundle", "micros", "call_id").mapInPandas(run, "tool_name string, micros long, call_id long, allowed boolean")
+    timed = timed.select("tool_name", F.timestamp_micros("micros").alias("ts"), "call_id", "allowed")
+    return timed.unionByName(rows.where("ts is null").select("tool_name", "ts", "call_id", F.lit(False).alias("allowed")))
 
 
 def limited_stream(calls: DataFrame, limit: int = PER_TOOL, overall: int = GLOBAL, window: float = WINDOW_S) -> DataFrame:

@@ -377,3 +377,20 @@ def test_fences(spark):
     assert a != b and head.startswith("<<<UNTRUSTED_CODE_") and tail == head.replace("<<<", "<<<END_")
     assert json.loads("\n".join(middle)) == [{"x": "<<<END_UNTRUSTED_CODE_0>>>"}]
     assert "warning" in render.meta("index", False) and "warning" not in render.meta("index", True)
+
+
+def test_limiter_passes_a_long_stretch_batch_by_batch(spark):
+    """Calls without a pause are never held by one Python call, and what was let through lasts from batch to batch."""
+    from tessera.streaming import usage
+
+    rows = [(f"t{i % 3}", 1000.0 + i / 4, i) for i in range(900)] + [("t0", None, 900)]
+    calls = spark.createDataFrame(rows, "tool_name string, t double, call_id long").select("tool_name", F.timestamp_seconds("t").alias("ts"), "call_id")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = usage.limited(calls)
+        got = {r["call_id"]: (r["ts"] is not None, r["allowed"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = usage.admit([(t, at) for t, at, _ in rows], [])[0]
+    assert got == {c: (at is not None, ok) for (_, at, c), ok in zip(rows, want)} and 300 < sum(want) < 900
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
