@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators import graph
-from tessera.plans.lineage import small
+from tessera.plans.lineage import cut, small
 
 RULE_SCHEMA = "rule_id string, severity string, confidence string, languages array<string>, calls_any array<string>, imports_any array<string>, arg_check string, supersedes string, owasp array<string>, cwe array<string>"
 SEVERITY = {"critical": 0, "high": 1, "medium": 2, "low": 3}
@@ -166,13 +166,38 @@ def scan_modules(contents: DataFrame) -> DataFrame:
 
 
 def taint_pairs(call_edges: DataFrame, sources: DataFrame, sinks: DataFrame, depth: int = 10, cap: int = 20) -> DataFrame:
-    """(source, sink, depth) of sinks (id) that a source (id, ord) reaches by calls, by source order and sink id; at most cap."""
-    hit = _reached(call_edges, sources, sinks, depth)
+    """(source, sink, depth) of sinks (id) that a source (id, ord) reaches by calls, by source order and sink id; at most cap.
+
+    Sources are searched in their order, some at a time, until there are cap pairs: later sources have only later pairs.
+    """
+    call_edges = cut(call_edges.select("src", "dst").distinct())
+    ends = cut(_near_sinks(call_edges, sinks, depth))
+    able = cut(sources.join(ends.select(F.col("node").alias("id")), "id", "left_semi"))  # each has a pair
+    # ties in order are searched together; a null order comes first
+    heads = [r["ord"] for r in able.select("ord").distinct().orderBy("ord").limit(cap).collect()]
+    hit, i, step = _reached(call_edges, able.limit(0), sinks, depth, ends), 0, 1
+    while i < len(heads):
+        some = F.lit(False)
+        for o in heads[i : i + step]:
+            some = some | F.col("ord").eqNullSafe(F.lit(o))
+        hit = hit.unionByName(cut(_reached(call_edges, able.where(some), sinks, depth, ends)))
+        i, step = i + step, 2 * step
+        if hit.limit(cap).count() >= cap:
+            break
     return hit.orderBy("ord", "node").limit(cap).select(F.col("root").alias("source"), F.col("node").alias("sink"), "depth")
 
 
-def _reached(call_edges: DataFrame, sources: DataFrame, sinks: DataFrame, depth: int) -> DataFrame:
-    got = graph.reach(call_edges, sources.select(F.col("id").alias("root"), F.col("id").alias("node")), depth, inclusive=True)
+def _near_sinks(call_edges: DataFrame, sinks: DataFrame, depth: int) -> DataFrame:
+    """(node, left): how many steps each node is from the sink nearest to it, up to depth; one search from all sinks at once."""
+    starts = sinks.select(F.lit(0).alias("root"), F.col("id").alias("node"))
+    return graph.reach(call_edges, starts, depth, forward=False, inclusive=True).select("node", F.col("depth").alias("left"))
+
+
+def _reached(call_edges: DataFrame, sources: DataFrame, sinks: DataFrame, depth: int, ends: DataFrame | None = None) -> DataFrame:
+    """All pairs, searched only through nodes from which a sink is near enough (ends, where they are at hand)."""
+    ends = cut(_near_sinks(call_edges, sinks, depth)) if ends is None else ends
+    able = sources.join(ends.select(F.col("node").alias("id")), "id", "left_semi")
+    got = graph.reach(call_edges, able.select(F.col("id").alias("root"), F.col("id").alias("node")), depth, inclusive=True, ends=ends)
     return got.join(small(sinks.select(F.col("id").alias("node")).distinct()), "node").join(small(sources.select(F.col("id").alias("root"), "ord")), "root")
 
 

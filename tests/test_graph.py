@@ -109,3 +109,25 @@ def test_pagerank_equals_plain_loop(spark):
             break
     got = graph.pagerank(spark.range(60).withColumnRenamed("id", "node"), spark.createDataFrame(edges, "src long, dst long"))
     assert {x["node"]: round(x["rank"], 9) for x in got.collect()} == {i: round(v, 9) for i, v in rank.items()}
+
+
+def test_taint_pairs_search_no_more_sources_than_needed(spark, monkeypatch):
+    """The first pairs by order come from the first sources that reach a sink; the others are not searched."""
+    from tessera.operators import security
+
+    r = random.Random(9)
+    edges = sorted({(r.randrange(200), r.randrange(200)) for _ in range(320)})
+    sources, sinks = [(i, (i * 7) % 200 // 2) for i in range(0, 200, 2)], [(i,) for i in range(0, 200, 9)]
+    want = []
+    for s, o in sources:
+        dist, front = {s: 0}, [s]
+        for d in range(1, 5):
+            front = sorted({b for a, b in edges if a in front and b not in dist})
+            dist |= {x: d for x in front}
+        want += [(o, x, s, dist[x]) for (x,) in sinks if x in dist]
+    args = [spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(sources, "id long, ord long"), spark.createDataFrame(sinks, "id long"), 4]
+    searched, reach = [], graph.reach
+    monkeypatch.setattr(graph, "reach", lambda e, starts, *rest, **more: searched.append(starts.select("root").distinct().count()) or reach(e, starts, *rest, **more))
+    got = [tuple(x) for x in security.taint_pairs(*args).collect()]
+    assert got == [(s, x, d) for o, x, s, d in sorted(want)[:20]] and sum(searched) < 40
+    assert sorted(tuple(x) for x in security.taint_pairs(*args, cap=10_000).collect()) == sorted((s, x, d) for _, x, s, d in want)
