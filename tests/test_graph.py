@@ -131,3 +131,23 @@ def test_taint_pairs_search_no_more_sources_than_needed(spark, monkeypatch):
     got = [tuple(x) for x in security.taint_pairs(*args).collect()]
     assert got == [(s, x, d) for o, x, s, d in sorted(want)[:20]] and sum(searched) < 40
     assert sorted(tuple(x) for x in security.taint_pairs(*args, cap=10_000).collect()) == sorted((s, x, d) for _, x, s, d in want)
+
+
+def _shuffles(monkeypatch, work) -> list[int]:
+    """How many shuffles stand in each plan that graph cuts while work runs."""
+    plans, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")) or cut(df))
+    work()
+    return plans
+
+
+def test_cycles_shuffle_only_moved_labels(spark, monkeypatch):
+    """After the first two tables each round of labels shuffles once; the session's settings are as before."""
+    e = spark.createDataFrame([(i, (i + 1) % 6) for i in range(6)], "src long, dst long")
+    names = ["spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions"]
+    before = [spark.conf.get(k) for k in names]
+    plans = _shuffles(monkeypatch, lambda: graph._least(e, "src", "dst"))
+    assert len(plans) > 5
+    plans = _shuffles(monkeypatch, lambda: graph.cycles(e).collect())
+    rounds = [n for n in plans if n == 1]
+    assert len(rounds) >= 6 and [spark.conf.get(k) for k in names] == before
