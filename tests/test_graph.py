@@ -151,3 +151,9 @@ def test_cycles_shuffle_only_moved_labels(spark, monkeypatch):
     plans = _shuffles(monkeypatch, lambda: graph.cycles(e).collect())
     rounds = [n for n in plans if n == 1]
     assert len(rounds) >= 6 and [spark.conf.get(k) for k in names] == before
+
+
+def test_pagerank_shuffles_once_a_round(spark, monkeypatch):
+    e = spark.createDataFrame([(i, (i * 5 + 1) % 30) for i in range(25)], "src long, dst long")
+    plans = _shuffles(monkeypatch, lambda: graph.pagerank(spark.range(30).withColumnRenamed("id", "node"), e, rounds=4, tolerance=None))
+    assert plans[-4:] == [1, 1, 1, 1]
